@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import media
+from tessera.llm import media, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op4_media_columns": media.op4_media_columns,
 }
 ORACLE: dict[str, str] = {}
