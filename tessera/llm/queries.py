@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, secrets
+from tessera.llm import langid, media, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op6_language_id": langid.op6_language_id,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op4_media_columns": media.op4_media_columns,
 }
 ORACLE: dict[str, str] = {}
