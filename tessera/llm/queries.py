@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, media, quality, secrets
+from tessera.llm import decontaminate, langid, media, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op7_url_filters": urlfilter.op7_url_filters,
     "op6_language_id": langid.op6_language_id,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op4_media_columns": media.op4_media_columns,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op7_url_filters": urlfilter.OP7_SQL,
+}
