@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, mix, spool, table, utf8, word_hashes
@@ -137,18 +137,22 @@ def reach(sizes: np.ndarray, points: np.ndarray, similar=None) -> list[tuple[int
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, id, n and point of each row of docs."""
+    """doc_id, row, a digest of the text, id, n and point of each row of docs."""
 
     def each(batch):
         sets = [shingles(t) for t in utf8(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "id": [set_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point(s).tobytes() if len(s) else None for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "digest": batch.column("digest"), "id": [set_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point(s).tobytes() if len(s) else None for s in sets]}
 
-    return arrow_map(docs.select("doc_id", "row", "text"), each, "doc_id long, row long, id long, n int, point binary")
+    return arrow_map(docs.select("doc_id", "row", "text", F.xxhash64("text").alias("digest")), each, "doc_id long, row long, digest long, id long, n int, point binary")
+
+
+def _row_number() -> Column:
+    text = F.col("text").cast("string")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit((1 << 40) - 1)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit((1 << 40) - 1))).alias("row"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_number().alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -314,38 +318,41 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, the classes (id, row, digest) and (id, root) of each class."""
     rows = _rows(docs)
     sets = spool(sets_of(rows))
-    full = sets.where("n > 0")
-    classes = spool(full.groupBy("id").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("point").alias("point")))
+    classes = sets.where("n > 0").groupBy("id").agg(F.min(F.struct("row", "digest")).alias("least"), F.first("n").alias("n"), F.first("point").alias("point"))
+    classes = spool(classes.select("id", "least.row", "least.digest", "n", "point"))
     keys = _keys(rows, classes)
     near = _by_cell(_blocks(keys).join(classes.select("id", "n", "point"), "id"), _near, ["id", "n", "point"]).distinct()
     groups = components(near).select(F.col("node").alias("id"), F.col("root").alias("key"))
     cells = _blocks(groups.join(classes.select("id", "row"), "id"))
     links = _by_cell(_texts(rows, cells), _similar, ["id", "text"]).distinct()
     roots = components(links).select(F.col("node").alias("id"), "root")
-    named = classes.select("id", "row").join(roots, "id", "left").select("id", "row", F.coalesce("root", "id").alias("root"))
+    return sets, classes, classes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs."""
+    sets, classes, roots = _components(docs)
+    named = classes.select("id", "row").join(roots, "id")
     names = named.groupBy("root").agg(F.min("row").alias("name"))
     by_class = named.join(names, "root").select("id", "name")
-    found = full.join(by_class, "id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name") < NO_ID, F.col("name")).alias("component_id"))
+    found = sets.where("n > 0").join(by_class, "id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name") < NO_ID, F.col("name")).alias("component_id"))
     return found.unionByName(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs, that of least doc_id, of each component; rows without a
-    shingle stay."""
-    found = linked(docs).where("n_shingles > 0").select("component_id").distinct()
-    keep = docs.join(found.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi")
-    empty = linked_empty(docs)
-    first = keep.join(empty.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.join(empty.select("doc_id"), "doc_id", "left_semi")).select(*docs.columns)
-
-
-def linked_empty(docs: DataFrame) -> DataFrame:
-    """doc_id of the rows whose text has no word."""
-    return docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id").distinct()
+    """One row of docs, that of least doc_id, of each component, with all columns;
+    every row without a word stays."""
+    _, classes, roots = _components(docs)
+    first = classes.join(roots, "id").groupBy("root").agg(F.min(F.struct("row", "digest")).alias("w")).select("w.*")
+    mine = docs.withColumns({"join row": _row_number(), "join digest": F.xxhash64(F.col("text").cast("string"))})
+    full = mine.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    kept = full.join(first.select(F.col("row").alias("join row"), F.col("digest").alias("join digest")), ["join row", "join digest"], "left_semi").dropDuplicates(["join row", "join digest"])
+    empty = mine.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.unionByName(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
