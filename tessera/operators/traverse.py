@@ -112,6 +112,7 @@ def _walk(edges: DataFrame, roots: list[str], ways: list[str], bounds: Bounds, *
             break
         rows = _level(edges, frontier, room)
         cut = len(rows) > room
+        cut_at = int(rows["at"].iloc[room]) if cut else -1
         rows = rows.iloc[:room].sort_values(["at", *COMPARE], kind="stable")
         spent += len(rows)
         fresh = rows[~rows["other"].isin(depth_of.keys())].drop_duplicates("other")
@@ -120,7 +121,7 @@ def _walk(edges: DataFrame, roots: list[str], ways: list[str], bounds: Bounds, *
             if len(hit):
                 ahead = fresh.iloc[: list(fresh["other"]).index(target)]
                 full = marked + len(ahead) >= bounds.max_nodes
-                cut_here = cut and rows["at"].max() == hit["at"].iloc[0]
+                cut_here = cut_at == int(hit["at"].iloc[0])
                 kept.append(fresh.iloc[: len(ahead) + 1])
                 return depth_of | {target: depth + 1}, kept, truncated or (full and len(ahead) > 0) or cut_here
             # Every new node counts as met, but once max_nodes are met no more are walked from.

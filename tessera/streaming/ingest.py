@@ -7,15 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tessera.schema import DDL, FAMILIES, Facts, conform
 from tessera.sources.store import Store
 
 #: One row a unit: its facts as arrays, and when it was sent.
-BATCH = "sent bigint, removed boolean, unit struct<{}>, {}".format(
-    DDL["units"].replace(" string", ":string"), ", ".join(f"{f} array<{StructType.fromDDL(DDL[f]).simpleString()}>" for f in FAMILIES[1:])
-)
+BATCH = f"sent bigint, removed boolean, unit struct<{DDL['units']}>, " + ", ".join(f"{f} array<struct<{DDL[f]}>>" for f in FAMILIES[1:])
 
 
 def latest(rows: DataFrame) -> DataFrame:
