@@ -369,6 +369,19 @@ ids AS (
 SELECT {columns} FROM (SELECT *, CAST(row_number() OVER (ORDER BY rank, normalized_name, id) AS INTEGER) AS pos FROM ranked) WHERE pos <= {limit}"""
 
 
+def _term(query: str, limit: int, name: str) -> str:
+    """CTEs of the first `limit` documents that a term finds, with their places."""
+    return f"""ids_{name} AS (
+  SELECT id FROM named WHERE id = '{query}' UNION SELECT id FROM (SELECT id FROM named WHERE stable_name = '{query}' ORDER BY id LIMIT {limit + 1})
+  UNION SELECT id FROM (SELECT id FROM named WHERE starts_with(normalized_name, '{query}') ORDER BY normalized_name, id LIMIT {4 * limit + 1})
+  UNION SELECT id FROM (SELECT id FROM posts WHERE id LIKE 'document:%' AND starts_with(token, '{query}') ORDER BY token, id LIMIT {4 * limit + 1})
+), top_{name} AS (
+  SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY rank, normalized_name, id) AS pos FROM (
+    SELECT id, normalized_name, CASE WHEN id = '{query}' OR stable_name = '{query}' THEN 0 WHEN normalized_name = '{query}' THEN 1 WHEN starts_with(normalized_name, '{query}') THEN 2 ELSE 3 END AS rank FROM named WHERE id IN (SELECT id FROM ids_{name})))
+  WHERE pos <= {limit}
+)"""
+
+
 def _adjacent(near: str, node: str, kinds: str, limit: int) -> str:
     far = "to" if near == "from" else "from"
     return f"""WITH {_EDGES} SELECT CAST(row_number() OVER (ORDER BY "from", kind, "to", evidence, id) AS INTEGER) AS pos, id, "from", "to", kind
@@ -399,6 +412,11 @@ ORACLE = {
     "q1_find_symbols": _find("customer#00000001", 50),
     "q1_find_by_term": _find("widget", 40),
     "q1_find_exact": _find("part/11", 10),
+    "q5_workspace_find": f"""WITH {_SYMBOLS}, {_POSTINGS}, named AS (SELECT *, lower(trim(display_name)) AS normalized_name FROM symbols WHERE kind = 'document'), {_term('and', 1024, 'a')}, {_term('the', 1024, 'b')}
+SELECT place, id, CAST(score AS BIGINT) AS score FROM (
+  SELECT named.id AS id, a.pos + b.pos - 2 AS score, CAST(row_number() OVER (ORDER BY a.pos + b.pos, stable_name, named.id) AS INTEGER) AS place
+  FROM named JOIN top_a a ON a.id = named.id JOIN top_b b ON b.id = named.id) WHERE place <= 30""",
+    "u1_federated_find": _find("customer#00000001", 60, "pos, rank, id, CASE WHEN id LIKE '%1' THEN 'a' ELSE 'b' END AS source"),
     "q4_qualified": f"WITH {_SYMBOLS} SELECT id, 'world.' || kind || '.' || display_name AS name FROM symbols WHERE kind IN ('nation', 'region')",
     "q8_anchor_line": "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), h AS (SELECT doc_id, line, len(list_intersect(" + _tokens("body") + ", ['and', 'of', 'the', 'that'])) AS hits FROM l) SELECT doc_id, line, CAST(hits AS BIGINT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, line) AS k FROM h) WHERE k = 1",
     "text_tokens": f"SELECT p_partkey, array_to_string({_tokens('p_name || chr(32) || p_brand || chr(32) || p_type')}, '|') AS tokens FROM part",
