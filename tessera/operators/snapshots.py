@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.schema import OPEN_ENDPOINT, Facts
 
 # Kinds of symbol that stand for a changed file.
-ROOT_KINDS = ["function", "method", "type", "interface", "class", "constant", "variable", "field", "package", "test"]
+ROOT_KINDS = ["function", "method", "type", "field", "constant", "package", "file", "asset", "symlink", "document", "section"]
+PATH_KINDS = ["file", "asset", "symlink", "document"]
 # What the letters of a source change mean.
 CHANGES = {"A": "added", "C": "copied", "D": "deleted", "M": "modified", "R": "renamed", "T": "type-changed", "U": "unmerged", "B": "broken"}
 
@@ -72,15 +73,19 @@ def impact_roots(facts: Facts, files: list[str], packages: list[str] = ()) -> Da
     """(id) of symbols that stand for files and packages, and of all in a package's unit."""
     paths = facts.documents.where(F.col("path").isin(list(files))).select(F.col("id").alias("document_id"))
     inside = facts.symbols.join(paths, "document_id", "left_semi").where(F.col("kind").isin(ROOT_KINDS)).select("id")
-    named = facts.symbols.where(F.col("stable_name").isin(list(files)) & F.col("kind").isin("file", "document")).select("id")
-    package = facts.symbols.where(F.col("stable_name").isin(list(packages)) & (F.col("kind") == "package"))
+    named = facts.symbols.where(F.col("stable_name").isin(list(files)) & F.col("kind").isin(PATH_KINDS)).select("id")
+    package = facts.symbols.where((F.col("stable_name").isin(list(packages)) | F.col("display_name").isin(list(packages))) & (F.col("kind") == "package"))
     members = facts.symbols.join(package.select("unit_id").distinct(), "unit_id", "left_semi").select("id")
     return reduce(DataFrame.unionByName, [inside, named, package.select("id"), members]).distinct()
 
 
-def missing_files(facts: Facts, files: list[str]) -> DataFrame:
-    spark = facts.documents.sparkSession
-    return spark.createDataFrame([(f,) for f in files], "path string").join(facts.documents.select("path"), "path", "left_anti").distinct()
+def missing_roots(facts: Facts, files: list[str], packages: list[str] = ()) -> DataFrame:
+    """(missing): `file:` paths and `package:` names that nothing stands for."""
+    spark, s = facts.documents.sparkSession, facts.symbols
+    paths = facts.documents.select("path").unionByName(s.where(F.col("kind").isin(PATH_KINDS)).select(F.col("stable_name").alias("path")))
+    names = s.where("kind = 'package'").select(F.explode(F.array("stable_name", "display_name")).alias("name"))
+    lost = spark.createDataFrame([(f,) for f in files], "path string").join(paths, "path", "left_anti").select(F.concat(F.lit("file:"), "path").alias("missing"))
+    return lost.unionByName(spark.createDataFrame([(p,) for p in packages], "name string").join(names, "name", "left_anti").select(F.concat(F.lit("package:"), "name").alias("missing"))).distinct()
 
 
 def affected_tests(facts: Facts, nodes: DataFrame) -> DataFrame:

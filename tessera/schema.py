@@ -25,8 +25,8 @@ EDGE_KINDS = [
     "implements", "imports", "instantiates", "links-to", "member-of", "reads", "references", "resolves-to", "tests", "writes",
 ]
 IMPACT_KINDS = ["calls", "references", "depends-on", "implements", "imports", "tests", "links-to", "embeds"]
-CONTENT_KINDS = ["links-to", "embeds"]
-# Kinds of workspace entities, and of symbols that stand for a file in impact analysis.
+CONTENT_KINDS = ["links-to", "embeds", "documents", "generates", "exposes", "member-of", "resolves-to"]
+# Kinds of workspace entities.
 WORKSPACE_KINDS = ["workspace", "directory", "file", "asset", "symlink", "resource", "document", "section", "code-block", "route", "series", "topic", "url"]
 OPEN_ENDPOINT = "^(external|go-external|open|schema-open):"
 

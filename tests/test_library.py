@@ -105,6 +105,13 @@ def test_integrity(spark):
     assert snapshots.fatal(snapshots.verify(bad)).count() == 5
 
 
+def test_impact_roots(spark):
+    facts = small(spark, symbols=[("f", "p.F", "F", (), "function", "d"), ("v", "p.v", "v", (), "variable", "d"), ("k", "example.test/pkg", "pkg", (), "package", "")], documents=[("d", "pkg/service.go")])
+    assert {r.id for r in snapshots.impact_roots(facts, ["pkg/service.go"]).collect()} == {"f"}
+    assert {r.id for r in snapshots.impact_roots(facts, [], ["pkg"]).collect()} == {"f", "v", "k"}
+    assert {r.missing for r in snapshots.missing_roots(facts, ["pkg/service.go", "no.go"], ["pkg", "other"]).collect()} == {"file:no.go", "package:other"}
+
+
 def test_policy(spark):
     facts = small(spark, symbols=[("api", "api", "A", (), "type", "d1"), ("db", "db", "D", (), "type", "d2"), ("ui", "ui", "U", (), "type", "d3")], documents=[("d1", "api/a.go"), ("d2", "storage/d.go"), ("d3", "ui/u.go")], edges=[("api", "calls", "db"), ("api", "calls", "open:lib"), ("ui", "calls", "api")])
     layers = [policy.Layer("api", paths=["api/**"]), policy.Layer("storage", paths=["storage/**"]), policy.Layer("lib", symbols=["open:*"])]
