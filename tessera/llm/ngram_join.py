@@ -9,8 +9,8 @@ by 64 bits of their digest, as shingles are by theirs. Then:
    documents. A set whose first shingles are mostly heavy is matched by all its
    light shingles against the others, and by its first quarter in plain order
    against its like; no link is lost.
-2. The classes that share a shingle are points: DIMENSIONS counts of shingles by
-   hashed group. A packed R-tree over the points bounds each overlap by the sum
+2. The classes that share a shingle are points: counts of shingles by hashed
+   group, of as many groups as keep a group at a few shingles. A packed R-tree over the points bounds each overlap by the sum
    of coordinate minima; classes that the bound can't part become one candidate
    group.
 3. In each candidate group the same tree and bound pick pairs, and surviving pairs
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, mix, spool, table, utf8, word_hashes
 from tessera.llm.components import components
 
-WORDS, DIMENSIONS, HEAVY, BLOCK, LEAF = 5, 64, 256, 4096, 32
+WORDS, DIMENSIONS, PER_LEVEL, HEAVY, BLOCK, LEAF = 5, 128, 600, 256, 2048, 32
+BUCKET_SHINGLES, MOST_BROADCAST = 2_000_000, 500_000
 NUMERATOR, DENOMINATOR = 3, 4  # the least similarity, 0.75
 NO_ID = (1 << 63) - (1 << 40)  # row numbers from here on stand for null ids, by text
 _TURNS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
@@ -57,9 +58,20 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def level(n) -> np.ndarray:
+    """Sets of up to PER_LEVEL shingles are of level 0; each level doubles the size."""
+    return np.ceil(np.log2(np.maximum(n, PER_LEVEL) / PER_LEVEL)).astype(np.int64)
+
+
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts by hashed group; 255 stands for 255 or more."""
-    return np.minimum(np.bincount((mix(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8)
+    """Counts by hashed group, more groups for larger sets; 255 stands for 255 or more."""
+    groups = DIMENSIONS << int(level(len(s)))
+    return np.minimum(np.bincount((mix(s) % np.uint64(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point of as many groups: each sums those that it covers."""
+    return np.minimum(p.reshape(-1, groups).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
 def first_part(n: int) -> int:
@@ -77,7 +89,7 @@ class Tree:
     heavier halves of their counts; a leaf holds LEAF points and their box."""
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        half = points[:, : DIMENSIONS // 2].sum(1, dtype=np.int64)
+        half = points[:, : points.shape[1] // 2].sum(1, dtype=np.int64)
         self.order = np.lexsort((half, sizes * 16 // max(1, int(sizes.max(initial=1)))))
         self.sizes, self.points = sizes[self.order].astype(np.int64), points[self.order]
         cuts = np.arange(0, len(sizes), LEAF)
@@ -112,9 +124,22 @@ def _overlap(p: np.ndarray, points: np.ndarray) -> np.ndarray:
     return least.sum(-1, dtype=np.int64) + (least == 255).any(-1) * (1 << 40)
 
 
-def reach(sizes: np.ndarray, points: np.ndarray, similar=None) -> list[tuple[int, int]]:
-    """Links that connect what is near (and similar, if a test is given): each
-    class is met once by the first one that reaches it."""
+def reach(sizes: np.ndarray, points: list[np.ndarray], similar=None) -> list[tuple[int, int]]:
+    """Links that connect what is near (and similar, if a test is given). Sizes of
+    similar sets are of one level or of two that follow each other: each level has a
+    tree of its own, with the next level's points folded."""
+    levels, out = level(sizes), []
+    for k in np.unique(levels).tolist():
+        mine = np.flatnonzero((levels == k) | (levels == k + 1))
+        if len(mine) > 1:
+            here = np.array([folded(points[i], DIMENSIONS << k) for i in mine])
+            test = (lambda i, others: similar(int(mine[i]), mine[others])) if similar else None  # noqa: B023
+            out += [(int(mine[i]), int(mine[j])) for i, j in _reach(sizes[mine], here, test)]
+    return out
+
+
+def _reach(sizes: np.ndarray, points: np.ndarray, similar) -> list[tuple[int, int]]:
+    """Within a level, each class is met once, by the first one that reaches it."""
     if len(sizes) == 2 and similar is None:
         a, b = sorted(sizes.tolist())
         return [(0, 1)] if b * NUMERATOR <= a * DENOMINATOR and _overlap(points[0], points[1:])[0] >= least_overlap(np.int64(a), b) else []
@@ -157,24 +182,76 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (id, row, ...) with the text of a row of that id; a row number that
-    stands for several texts is told apart when the set is made."""
+    stands for several texts is told apart when the set is made. Up to MOST_BROADCAST
+    wanted rows are sent to the texts; beyond, both sides are shuffled."""
+    wanted = spool(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     return rows.select("row", "text").join(wanted, "row")
 
 
-def _first_shingles(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, n, place, shingle): the first of each class's shingles by hash."""
+def _shared_shingles(rows: DataFrame, total: int) -> DataFrame:
+    """(id, at, shingle, k): the first shingles, by hash, of each class that another
+    class has among its first too. k is the number of such classes, at most
+    HEAVY + 1; at is the set's size and the shingle's place in it.
 
-    def each(batch):
-        out = {"id": [], "n": [], "shingles": []}
-        for text, known in zip(utf8(batch.column("text")), batch.column("id").to_pylist(), strict=True):
-            s = shingles(text)
-            if len(s) and set_id(s) == known:
-                out["id"].append(known), out["n"].append(len(s))
-                out["shingles"].append(s[: first_part(len(s)) + _slack(len(s))].view(np.int64))
+    Shingles travel as packed blocks by hash range, 20 bytes or less each."""
+    buckets, limit = total // BUCKET_SHINGLES + 32, HEAVY
+    width = np.uint64((1 << 64) // buckets + 1)
+
+    def pack(batch):
+        sets = [shingles(t) for t in utf8(batch.column("text"))]
+        known = dict((set_id(s), s) for s in sets if len(s))  # copies in a piece go as one
+        if not known:
+            return {"bucket": [], "shingle": [], "nth": [], "place": [], "ids": [], "sizes": []}
+        first = [s[: first_part(len(s)) + _slack(len(s))] for s in known.values()]
+        shingle = np.concatenate(first)
+        nth = np.repeat(np.arange(len(first), dtype=np.uint32), [len(f) for f in first])
+        place = np.concatenate([np.arange(len(f), dtype=np.uint32) for f in first])
+        by = np.argsort(shingle)
+        shingle, nth, place = shingle[by], nth[by], place[by]
+        bucket = (shingle // width).astype(np.int64)
+        ids, sizes = np.array(list(known), np.int64), np.array([len(s) for s in known.values()], np.int64)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = {"bucket": bucket[np.concatenate(([0], cuts))], "shingle": [], "nth": [], "place": [], "ids": [], "sizes": []}
+        for s, m, p in zip(np.split(shingle, cuts), np.split(nth, cuts), np.split(place, cuts), strict=True):
+            mine, m = np.unique(m, return_inverse=True)
+            for name, x in (("shingle", s), ("nth", m.astype(np.uint32)), ("place", p), ("ids", ids[mine]), ("sizes", sizes[mine])):
+                out[name].append(x.tobytes())
         return out
 
-    got = arrow_map(_texts(rows, classes.select("id", "row")), each, "id long, n int, shingles array<long>")
-    return got.select("id", (F.col("n").cast("long") * (1 << 32)).alias("n"), F.posexplode("shingles").alias("place", "shingle")).select("id", (F.col("n") + F.col("place")).alias("at"), "shingle")
+    def match(batches):
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingle", "nth", "place", "ids", "sizes")), strict=True):
+                if held and row[0] != now:
+                    yield _matched(held, limit)
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield _matched(held, limit)
+
+    packed = arrow_map(rows.select("text"), pack, "bucket long, shingle binary, nth binary, place binary, ids binary, sizes binary", limit=1 << 22)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(match, "id long, at long, shingle long, k int")
+
+
+def _matched(held: list[tuple], limit: int) -> pa.RecordBatch:
+    """Of a bucket's blocks, the shingles of at least two classes."""
+    parts = [[np.frombuffer(x, t) for x, t in zip(block, (np.uint64, np.uint32, np.uint32, np.int64, np.int64), strict=True)] for block in held]
+    shingle = np.concatenate([p[0] for p in parts])
+    ids = np.concatenate([p[3][p[1]] for p in parts])
+    at = np.concatenate([(p[4][p[1]] << 32) + p[2] for p in parts])
+    by = np.lexsort((ids, shingle))
+    shingle, ids, at = shingle[by], ids[by], at[by]
+    new = np.ones(len(shingle), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (ids[1:] != ids[:-1])  # copies are one class
+    shingle, ids, at = shingle[new], ids[new], at[new]
+    begin = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+    count = np.diff(np.concatenate((begin, [len(shingle)])))
+    k = np.repeat(count, count)
+    keep = k > 1
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(shingle[keep].view(np.int64)), pa.array(np.minimum(k[keep], limit + 1).astype(np.int32))], names=["id", "at", "shingle", "k"])
 
 
 def _slack(n: int) -> int:
@@ -194,11 +271,9 @@ def _all_shingles(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(_texts(rows, classes.select("id", "row")), each, "id long, shingle long")
 
 
-def _keys(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _keys(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """(key, id): classes that may be similar share a key."""
-    first = _first_shingles(rows, classes)
-    common = first.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
-    shared = spool(first.join(common, "shingle").select("id", "at", "shingle", F.least("k", F.lit(HEAVY + 1)).alias("k")))
+    shared = spool(_shared_shingles(rows, total))
     by_class = shared.groupBy("id").agg(F.collect_list(F.struct("at", "shingle", "k")).alias("s"))  # bounded by one text
 
     limit = HEAVY
@@ -235,6 +310,13 @@ def _keys(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return spool(keys)
 
 
+def _different(keys: DataFrame) -> DataFrame:
+    """keys without those that hold no other ids than another key: the classes of a
+    family share many shingles, and one says all."""
+    each = keys.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("v")).where("k > 1")
+    return spool(keys.join(each.groupBy("k", "u", "v").agg(F.min("key").alias("key")).select("key"), "key"))
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """members (key, id, ...) with each two blocks of a key's ids in a cell: `cell` is a hash of
     key and blocks; a key of up to BLOCK ids has one block. Keys of one id are gone."""
@@ -288,7 +370,7 @@ def _near(held: list) -> list:
     if sum(len(h) for h in held) < 2:
         return []
     ids, sizes = _column(held, "id").to_numpy(), _column(held, "n").to_numpy()
-    points = np.frombuffer(b"".join(_column(held, "point").to_pylist()), np.uint8).reshape(len(ids), DIMENSIONS)
+    points = [np.frombuffer(p, np.uint8) for p in _column(held, "point").to_pylist()]
     return [(ids[i], ids[j]) for i, j in reach(sizes, points)]
 
 
@@ -302,13 +384,35 @@ def _similar(held: list) -> list:
     if len(ids) < 2:
         return []
 
+    index: list = []
+
     def test(i: int, others: np.ndarray) -> np.ndarray:
         mine = sets[i]
-        common = np.array([_common(mine, sets[j]) for j in others])
+        if len(others) <= 4:
+            common = np.array([_common(mine, sets[j]) for j in others])
+        else:  # one pass over the postings of this set's shingles gives all overlaps
+            if not index:
+                index.extend(_postings(sets))
+            common = _overlaps(mine, *index, len(sets))[others]
         sizes = np.array([len(sets[j]) for j in others])
         return common * DENOMINATOR >= NUMERATOR * (sizes + len(mine) - common)
 
-    return [(ids[i], ids[j]) for i, j in reach(np.array([len(s) for s in sets]), np.array([point(s) for s in sets]), test)]
+    return [(ids[i], ids[j]) for i, j in reach(np.array([len(s) for s in sets]), [point(s) for s in sets], test)]
+
+
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the sets in order, and the set of each."""
+    shingle, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    by = np.argsort(shingle, kind="stable")
+    return shingle[by], of[by]
+
+
+def _overlaps(mine: np.ndarray, shingle: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sizes of mine's overlaps with all n sets."""
+    begin, end = np.searchsorted(shingle, mine), np.searchsorted(shingle, mine, side="right")
+    size = end - begin
+    at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+    return np.bincount(of[at], minlength=n)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -324,7 +428,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = spool(sets_of(rows))
     classes = sets.where("n > 0").groupBy("id").agg(F.min(F.struct("row", "digest")).alias("least"), F.first("n").alias("n"), F.first("point").alias("point"))
     classes = spool(classes.select("id", "least.row", "least.digest", "n", "point"))
-    keys = _keys(rows, classes)
+    total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    keys = _different(_keys(rows, classes, total))
     near = _by_cell(_blocks(keys).join(classes.select("id", "n", "point"), "id"), _near, ["id", "n", "point"]).distinct()
     groups = components(near).select(F.col("node").alias("id"), F.col("root").alias("key"))
     cells = _blocks(groups.join(classes.select("id", "row"), "id"))
