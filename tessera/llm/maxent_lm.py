@@ -47,7 +47,9 @@ def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         shape = last << np.uint64(16) | before << np.uint64(8) | np.minimum(e - s, 6).astype(np.uint64)
         classes.append((mix(shape) % np.uint64(END_CLASS)).astype(np.int64))
         at = end
-    return np.concatenate([*hashes, [END]]).astype(np.uint64), np.concatenate([*classes, [END_CLASS]]).astype(np.int64)
+    # A hash's last bits are the token's class, so whoever has the hash has the class.
+    h, c = np.concatenate([*hashes, [END]]).astype(np.uint64), np.concatenate([*classes, [END_CLASS]]).astype(np.int64)
+    return h & ~np.uint64(CLASSES - 1) | c.astype(np.uint64), c
 
 
 def features(hashes: np.ndarray) -> np.ndarray:
@@ -95,15 +97,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
-    """h, class and count of every token of the training rows."""
+    """The hash and count of every token of the training rows."""
 
     def each(batch):
         parts = [tokens(t) for t in utf8(batch.column("text"))]
-        h, first, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-        return {"h": h.view(np.int64), "class": np.concatenate([p[1] for p in parts])[first], "c": n}
+        h, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+        return {"h": h.view(np.int64), "c": n}
 
-    got = arrow_map(rows.where("NOT held_out").select("text"), each, "h long, class int, c long", limit=COUNT_BYTES)
-    return got.groupBy("h").agg(F.sum("c").alias("c"), F.min("class").alias("class"))
+    got = arrow_map(rows.where("NOT held_out").select("text"), each, "h long, c long", limit=COUNT_BYTES)
+    return got.groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def train_round(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -154,7 +156,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = _rows(docs)
     counts = spool(count_tokens(rows))
-    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
+    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     n_class = np.array([by_class.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     v_class = np.array([by_class.get(k, (0, 0))[1] for k in range(CLASSES)], float)
     n, v = int(n_class.sum()), int(v_class.sum())
@@ -176,7 +178,7 @@ def scored(docs: DataFrame) -> DataFrame:
                     h = np.unique(np.concatenate([tokens(t)[0] for t in utf8(texts)])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b)), pa.array(h)], names=["block", "h"])
 
-    asked = dealt.sortWithinPartitions("block").select("block", "text").mapInArrow(distinct, "block long, h long").distinct()
+    asked = dealt.sortWithinPartitions("block").select("block", "text").mapInArrow(distinct, "block long, h long")  # a token may come twice
     known = asked.join(counts.select("h", "c"), "h")
     sent = docs.sparkSession.sparkContext.broadcast((weights, bias, n_class, v_class))
     score_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
