@@ -212,7 +212,9 @@ def all_spans(text: str, tagger: Tagger) -> tuple[list, list]:
 def labelled_windows(docs: DataFrame) -> DataFrame:
     """Snippets around base spans, and one elsewhere in each sampled text; the
     sample is the SAMPLE_ROWS rows of least hash, so it is the same every time."""
-    sample = id_and_text(docs).where("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id").limit(SAMPLE_ROWS)
+    mine = id_and_text(docs).where("text IS NOT NULL AND doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = mine.select("doc_id", "h").orderBy("h", "doc_id").limit(SAMPLE_ROWS).distinct()  # so it may be broadcast
+    sample = mine.join(F.broadcast(chosen), ["doc_id", "h"])
 
     def each(batch):
         out = {"h": [], "snippet": [], "starts": [], "ends": []}
