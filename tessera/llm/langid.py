@@ -171,8 +171,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from the sampled rows that aren't held out; each fifth of these
     serves to fit the steepness alone."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(~held_out(5, 0)).where("lang IS NOT NULL AND text IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = mine.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", place).where(F.col("n") <= sample).select("doc_id", "lang", "n").distinct()
+    ids = mine.where("doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):  # first within parts, so no task ranks a whole language
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("n") <= sample)
+    chosen = ids.groupBy("doc_id", "lang").agg(F.min("n").alias("n"))
 
     def each(batch):
         out = {"lang": [], "word": [], "n": [], "fit": []}
