@@ -304,8 +304,8 @@ def _keys(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
 
     chosen = spool(arrow_map(by_class.withColumn("text", F.lit("x" * 64)), choose, "id long, kind int, shingle long"))
     lacking = classes.join(chosen.where("kind = 2").select("id"), "id", "left_semi")
-    heavy = shared.where(F.col("k") > HEAVY).select("shingle").distinct()
-    rest = _all_shingles(rows, lacking).join(heavy, "shingle", "left_anti").select("id", F.lit(0).alias("kind"), "shingle")
+    asked = chosen.where("kind = 0").select("shingle").distinct()  # no other shingle can meet one of these sets
+    rest = _all_shingles(rows, lacking).join(asked, "shingle", "left_semi").select("id", F.lit(0).alias("kind"), "shingle")
     keys = chosen.where("kind < 2").unionByName(rest).select("id", F.xxhash64("kind", "shingle").alias("key")).distinct()
     return spool(keys)
 
