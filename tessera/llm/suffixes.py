@@ -148,12 +148,14 @@ def _with_last(s: np.ndarray, order: np.ndarray) -> np.ndarray:
 def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place, the place before it in order, and the length of their common
     prefix (at most `most`). Where the place before moves along with the text, the
-    length is one less than at the last place; only other places are compared."""
+    length is one less than at the last place; only other places are compared, and
+    each 1 (a region's end), so that no region carries on what `most` cut before it."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     moves = np.zeros(n, bool)
     moves[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (s[:-1] == s[np.maximum(before[:-1], 0)])
+    moves[s == 1] = False
     fresh = np.flatnonzero(~moves)
     sums = prefix_sums(s)
     other = before[fresh]

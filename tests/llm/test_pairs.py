@@ -183,3 +183,28 @@ def test_suffix_arrays():
             while max(i, j) + n < len(full) and full[i + n] == full[j + n]:
                 n += 1
             assert (before[i], common[i]) == (j, n)
+
+
+def starts_of(regions):
+    count = collections.Counter(r[k : k + 200] for r in regions for k in range(len(r) - 199))
+    return [[k for k in range(len(r) - 199) if count[r[k : k + 200]] > 1] for r in regions]
+
+
+def test_repeats_in_neighbouring_near_copies():
+    rng = random.Random(4)
+    new = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    late, early = new(300), new(300)
+    regions = [new(60) + late, early + new(60), new(60) + late, early + new(60)]
+    assert [x.tolist() for x in suffixes.repeated_starts(regions)] == starts_of(regions)
+
+
+@pytest.mark.parametrize("copies", [8, 12, 16])
+def test_repeats_in_copies_with_one_edit(copies):
+    rng = random.Random(copies)
+    for _ in range(10):
+        base, regions = bytes(rng.randrange(97, 123) for _ in range(360)), set()
+        while len(regions) < copies:
+            at = rng.randrange(360)
+            regions.add(base[:at] + bytes([rng.randrange(65, 91)]) + base[at + 1 :])
+        regions = rng.sample(sorted(regions), copies)
+        assert [x.tolist() for x in suffixes.repeated_starts(regions)] == starts_of(regions)
