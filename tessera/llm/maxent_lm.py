@@ -3,10 +3,11 @@
 P(token | history) = P(class | history) * P(token | class). Classes follow from a
 token's last bytes and length. The class softmax sums weight rows of three hashed
 features: the token before, the token before that (a skip), and both. Within a
-class, tokens share what the corpus counts say, with one added. Weights are
-trained by gradient steps that run on all training documents where they lie; each
-round's weights are the average of the tasks' own, weighted by tokens, and each
-training document serves in one round. Scoring runs in numpy batches.
+class, tokens share what the corpus counts say, with one added: no softmax on the
+features is built there, so contexts choose classes only. Weights are trained by
+gradient steps that run on all training documents where they lie; each round's
+weights are the average of the tasks' own, weighted by tokens, and each training
+document serves in one round. Scoring runs in numpy batches.
 
 Tokens are known by 64-bit hashes. Counts cover every training document, and are
 joined to blocks of documents (BLOCK_BYTES each), never broadcast; what is
