@@ -117,6 +117,10 @@ def postings(spark, d):
     return search.postings(_symbols(spark, d).where("kind <> 'document'")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def postings_all(spark, d):
+    return search.postings(_symbols(spark, d)).groupBy("token").agg(F.count("*").alias("n"))
+
+
 def g1_edges_from(spark, d):
     return traverse.adjacent(_edges(spark, d), "order:7", "out", None, 3).select("pos", "id", "from", "to", "kind")
 
@@ -297,8 +301,7 @@ def fn_stable_hash(spark, d):
 
 
 def q7_explore(spark, d):
-    symbols = _symbols(spark, d).where("kind IN ('part', 'document', 'nation')")
-    return search.explore(symbols.unionByName(symbols.limit(0)), "red widgets explained", 8)
+    return search.explore(_symbols(spark, d), "red widgets explained", 8)
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] != "_" and getattr(f, "__module__", "") == __name__ and name not in ("partial", "conform")}
@@ -422,6 +425,7 @@ SELECT place, id, CAST(score AS BIGINT) AS score FROM (
     "text_tokens": f"SELECT p_partkey, array_to_string({_tokens('p_name || chr(32) || p_brand || chr(32) || p_type')}, '|') AS tokens FROM part",
     "text_terms": f"SELECT doc_id, array_to_string({_TERMS.format(_tokens('text'))}, '|') AS terms FROM documents",
     "postings": f"WITH {_SYMBOLS}, {_POSTINGS} SELECT token, count(*) AS n FROM posts WHERE id NOT LIKE 'document:%' GROUP BY token",
+    "postings_all": f"WITH {_SYMBOLS}, {_POSTINGS} SELECT token, count(*) AS n FROM posts GROUP BY token",
     "g1_edges_from": _adjacent("from", "order:7", "", 3),
     "g1_edges_to": _adjacent("to", "part:5", "AND kind IN ('references', 'depends-on')", 20),
     "g2_callers": f"WITH {_EDGES} SELECT id, \"from\", \"to\" FROM edges WHERE kind = 'calls' AND \"to\" = 'event:500' ORDER BY \"from\", id LIMIT 50",
