@@ -240,6 +240,34 @@ def u3_delta_bounded(spark, d):
     return snapshots.snapshot_delta(*_versions(spark, d), limit=5)
 
 
+#: What a changed record differs in, in each family.
+_CHANGED = {"units": "surface_fingerprint", "documents": "content_hash", "symbols": "display_name", "occurrences": "role", "edges": "evidence"}
+
+
+def _whole_versions(spark, d) -> tuple[Facts, Facts]:
+    """Two versions of all five families, parted and changed by digests of their ids."""
+    key = F.conv(F.substring(F.sha2("id", 256), 1, 6), 16, 10).cast("long")
+
+    def later(family, df):
+        c = _CHANGED[family]
+        return df.where(key % 11 != 0).withColumn(c, F.when(key % 13 == 0, F.concat(c, F.lit("*"))).otherwise(F.col(c)))
+
+    facts = project.facts(spark, d)
+    return facts.map(lambda _, df: df.where(key % 7 != 0)), facts.map(later)
+
+
+def u3_delta_all(spark, d):
+    return snapshots.snapshot_delta(*_whole_versions(spark, d))
+
+
+def u3_delta_all_bounded(spark, d):
+    return snapshots.snapshot_delta(*_whole_versions(spark, d), limit=5)
+
+
+def u5_transitions_all(spark, d):
+    return snapshots.transitions(*_whole_versions(spark, d))
+
+
 def u4_surfaces(spark, d):
     units = _edges(spark, d).groupBy(F.col("unit_id").alias("id")).agg(F.count("*").cast("string").alias("surface_fingerprint"))
     after = units.where("id <> 'tables:calls'").withColumn("surface_fingerprint", F.when(F.col("id") == "tables:imports", "").otherwise(F.concat("surface_fingerprint", F.when(F.col("id") == "tables:contains", "x").otherwise(""))))
@@ -402,6 +430,12 @@ _AFTER = "SELECT id, stable_name, CASE WHEN CAST(split_part(id, ':', 2) AS BIGIN
 _DELTA = f"""WITH {_SYMBOLS}, b AS ({_BEFORE}), a AS ({_AFTER}),
 dl AS (SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN b.display_name <> a.display_name THEN 'changed' END AS change FROM b FULL OUTER JOIN a ON a.id = b.id)"""
 
+_DELTA_ALL = f"""WITH {_SYMBOLS}, {_EDGES}, {_OCCURRENCES}, {_DOCUMENTS}, records AS (
+  SELECT 'units' AS family, unit_id AS id FROM (SELECT unit_id FROM symbols UNION SELECT unit_id FROM edges)
+  UNION ALL SELECT 'documents', id FROM docs UNION ALL SELECT 'symbols', id FROM symbols UNION ALL SELECT 'occurrences', id FROM occ UNION ALL SELECT 'edges', id FROM edges
+), keyed AS (SELECT family, id, CAST('0x' || substr(sha256(id), 1, 6) AS BIGINT) AS k FROM records),
+dl AS (SELECT family, id, CASE WHEN k % 7 = 0 AND k % 11 = 0 THEN NULL WHEN k % 7 = 0 THEN 'added' WHEN k % 11 = 0 THEN 'removed' WHEN k % 13 = 0 THEN 'changed' END AS change FROM keyed)"""
+
 ORACLE = {
     "s2_symbol": f"WITH {_SYMBOLS} SELECT id, stable_name, kind FROM symbols WHERE id = 'supplier:7'",
     "s2_document": f"WITH {_DOCUMENTS} SELECT id, path, content_hash FROM docs WHERE id = 'orders:1'",
@@ -448,6 +482,9 @@ SELECT place, id, CAST(score AS BIGINT) AS score FROM (
     "a8_route_ambiguity": f"WITH {_EDGES} SELECT \"to\" AS route, count(DISTINCT \"from\") AS owners, min(\"from\") AS \"first\" FROM edges WHERE kind = 'links-to' GROUP BY 1 HAVING count(DISTINCT \"from\") > 1",
     "u3_delta": _DELTA + " SELECT 'symbols' AS family, change, id FROM dl WHERE change IS NOT NULL",
     "u3_delta_bounded": _DELTA + " SELECT 'symbols' AS family, change, id, total FROM (SELECT change, id, row_number() OVER (PARTITION BY change ORDER BY id) AS k, count(*) OVER (PARTITION BY change) AS total FROM dl WHERE change IS NOT NULL) WHERE k <= 5",
+    "u3_delta_all": _DELTA_ALL + " SELECT family, change, id FROM dl WHERE change IS NOT NULL",
+    "u3_delta_all_bounded": _DELTA_ALL + " SELECT family, change, id, total FROM (SELECT family, change, id, row_number() OVER (PARTITION BY family, change ORDER BY id) AS k, count(*) OVER (PARTITION BY family, change) AS total FROM dl WHERE change IS NOT NULL) WHERE k <= 5",
+    "u5_transitions_all": _DELTA_ALL + " SELECT id, change AS status FROM dl WHERE family = 'symbols' AND change IS NOT NULL",
     "u4_surfaces": f"WITH {_EDGES}, u AS (SELECT unit_id AS id, CAST(count(*) AS VARCHAR) AS s FROM edges GROUP BY 1) SELECT id, CASE WHEN id = 'tables:contains' THEN 'changed' ELSE 'removed' END AS change, s AS before, CASE WHEN id = 'tables:contains' THEN s || 'x' ELSE '' END AS \"after\" FROM u WHERE id IN ('tables:calls', 'tables:imports', 'tables:contains')",
     "u5_transitions": _DELTA + " SELECT id, change AS status FROM dl WHERE change IS NOT NULL",
     "u1_federated_edges": f"WITH {_EDGES} SELECT id, CASE WHEN \"from\" LIKE 'order:1%' THEN 'a' ELSE 'b' END AS source FROM edges WHERE kind IN ('depends-on', 'imports')",

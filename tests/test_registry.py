@@ -49,3 +49,14 @@ def test_exploration_searches_all_kinds(spark, sf, monkeypatch):
 
     monkeypatch.setattr(search, "explore", kept)
     assert len(registry.QUERIES["q7_explore"](spark, sf).collect()) == 8 and seen == [KINDS]
+
+
+def test_differences_of_all_families(spark, sf):
+    got = rows_of(registry.QUERIES["u3_delta_all"](spark, sf))
+    assert got == rows_in_sql(sf, "u3_delta_all")
+    changes = {(family, change) for family, change, _ in got}
+    assert changes >= {(f, c) for f in ("documents", "symbols", "occurrences", "edges") for c in ("added", "removed", "changed")}
+    assert "units" in {f for f, _ in changes}
+    assert {i.split(":")[0] for f, _, i in got if f == "symbols"} >= KINDS - {"region", "nation"}  # 5 and 25 rows
+    for name in ("u3_delta_all_bounded", "u5_transitions_all"):
+        assert rows_of(registry.QUERIES[name](spark, sf)) == rows_in_sql(sf, name)
