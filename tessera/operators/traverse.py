@@ -229,18 +229,21 @@ def outline(edges: DataFrame, symbols: DataFrame, root: str, bounds: Bounds = Bo
     return _result(edges.sparkSession, [(d, n) for n, d in depth_of.items()], rows, truncated)
 
 
-def content_links(edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """Content edges out of nodes (pos, id), node by node, up to a limit in all."""
+def content_links(edges: DataFrame, nodes: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Content edges out of nodes (pos, id), node by node, up to a limit in all, if any."""
     from tessera.schema import CONTENT_KINDS
 
-    mine = of_kinds(edges, CONTENT_KINDS).join(F.broadcast(nodes.select(F.col("id").alias("from"), F.col("pos").alias("at"))), "from")
-    return mine.orderBy("at", kind_code(F.col("kind")), "to", "id").limit(limit)
+    wanted = nodes.select(F.col("id").alias("from"), F.col("pos").alias("at"))
+    mine = of_kinds(edges, CONTENT_KINDS).join(wanted if limit is None else F.broadcast(wanted), "from")
+    mine = mine.orderBy("at", kind_code(F.col("kind")), "to", "id")
+    return mine if limit is None else mine.limit(limit)
 
 
-def backlinks(edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """Content edges into nodes (id), or into an alias that resolves to one."""
+def backlinks(edges: DataFrame, nodes: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Content edges into nodes (id), or into an alias that resolves to one, up to a limit, if any."""
     from tessera.schema import CONTENT_KINDS
 
     ids = nodes.select(F.col("id").alias("to"))
     alias = edges.where("kind = 'resolves-to'").join(ids, "to", "left_semi").select(F.col("from").alias("to"))
-    return of_kinds(edges, CONTENT_KINDS).join(ids.unionByName(alias).distinct(), "to", "left_semi").orderBy(*COMPARE).limit(limit)
+    found = of_kinds(edges, CONTENT_KINDS).join(ids.unionByName(alias).distinct(), "to", "left_semi").orderBy(*COMPARE)
+    return found if limit is None else found.limit(limit)

@@ -178,12 +178,22 @@ def g8_outline(spark, d):
 
 def g9_links(spark, d):
     nodes = spark.range(1, 40).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("page:"), F.col("id").cast("string")).alias("id"))
-    return traverse.content_links(_edges(spark, d), nodes, 100_000).select("id", "from", "to")
+    return traverse.content_links(_edges(spark, d), nodes, None).select("id", "from", "to")
+
+
+def g9_links_all(spark, d):
+    nodes = _symbols(spark, d).where("kind = 'page'").select(F.substring_index("id", ":", -1).cast("long").alias("pos"), "id")
+    return traverse.content_links(_edges(spark, d), nodes, None).select("id", "from", "to")
 
 
 def g10_backlinks(spark, d):
     nodes = _edges(spark, d).where("kind = 'links-to'").select(F.col("to").alias("id")).distinct().where("id LIKE 'route:/t%'")
-    return traverse.backlinks(_edges(spark, d), nodes, 100_000).select("id", "from", "to")
+    return traverse.backlinks(_edges(spark, d), nodes, None).select("id", "from", "to")
+
+
+def g10_backlinks_all(spark, d):
+    nodes = _edges(spark, d).where("kind = 'links-to'").select(F.col("to").alias("id")).distinct()
+    return traverse.backlinks(_edges(spark, d), nodes, None).select("id", "from", "to")
 
 
 def g11_impact_roots(spark, d):
@@ -473,6 +483,8 @@ SELECT place, id, CAST(score AS BIGINT) AS score FROM (
     "g8_outline": _reach("SELECT id, depth FROM best", "from", "'contains'", "to", "SELECT 'region:2' AS id"),
     "g9_links": f"WITH {_EDGES} SELECT id, \"from\", \"to\" FROM edges WHERE kind IN ('links-to', 'embeds') AND split_part(\"from\", ':', 1) = 'page' AND CAST(split_part(\"from\", ':', 2) AS BIGINT) BETWEEN 1 AND 39",
     "g10_backlinks": f"WITH {_EDGES} SELECT id, \"from\", \"to\" FROM edges WHERE kind = 'links-to' AND \"to\" LIKE 'route:/t%'",
+    "g9_links_all": f"WITH {_EDGES} SELECT id, \"from\", \"to\" FROM edges WHERE kind IN ('links-to', 'embeds')",
+    "g10_backlinks_all": f"WITH {_EDGES} SELECT id, \"from\", \"to\" FROM edges WHERE kind = 'links-to'",
     "g11_impact_roots": f"WITH {_SYMBOLS} SELECT id FROM symbols WHERE id IN ('order:1', 'order:2', 'document:3')",
     "g14_proximity": f"WITH {_DOCUMENTS} SELECT d.id, o.id AS other, CAST(10 * CASE WHEN d.path = o.path THEN 2 WHEN split_part(d.path, '/', 1) = split_part(o.path, '/', 1) THEN 1 ELSE 0 END AS BIGINT) AS near FROM docs d, docs o WHERE o.id IN ('orders:1', 'pages:1')",
     "a1_status": f"WITH {_SYMBOLS}, {_EDGES} SELECT (SELECT count(DISTINCT id) FROM symbols) AS symbols, CAST(2 AS BIGINT) AS sources, (SELECT count(*) FROM (SELECT DISTINCT \"from\", kind, \"to\", evidence, document_id, provider FROM edges)) AS edges",

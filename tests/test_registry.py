@@ -60,3 +60,13 @@ def test_differences_of_all_families(spark, sf):
     assert {i.split(":")[0] for f, _, i in got if f == "symbols"} >= KINDS - {"region", "nation"}  # 5 and 25 rows
     for name in ("u3_delta_all_bounded", "u5_transitions_all"):
         assert rows_of(registry.QUERIES[name](spark, sf)) == rows_in_sql(sf, name)
+
+
+@pytest.mark.parametrize("name", ["g9_links", "g10_backlinks"])
+def test_links_of_all_pages_and_routes(spark, sf, name):
+    got = rows_of(registry.QUERIES[name + "_all"](spark, sf))
+    assert got == rows_in_sql(sf, name + "_all")
+    part = rows_of(registry.QUERIES[name](spark, sf))
+    assert part == rows_in_sql(sf, name) and set(part) < set(got)
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
