@@ -97,10 +97,71 @@ def test_codec(transforms, cache):
 
 
 def test_codec_rejects_damage():
-    good = media.store(b"some text" * 30)[0]
+    text = b"some text that repeats, some text that doesn't; " * 30
+    good = media.store(text)[0]
     for bad in (b"", good[:10], b"JUNK" + good[4:], good[:20] + b"\0" + good[21:]):
-        with pytest.raises((ValueError, IndexError, Exception)):
+        with pytest.raises(ValueError):
             media.decode(bad)
+    for cut in range(12, len(good) - 1, 7):
+        with pytest.raises(ValueError):
+            media.load(good[:cut])
+        body = good[20:cut]
+        with pytest.raises(ValueError):  # a stream that is short inside a file that is whole
+            media.decode(media._file(body))
+
+
+def stream(*fields):
+    """The bytes of (value, bits) fields, least significant first."""
+    text = "".join(f"{v:0{n}b}"[::-1] for v, n in fields)
+    return bytes(int(text[k : k + 8][::-1], 2) for k in range(0, len(text), 8))
+
+
+def test_decodes_streams_of_others():
+    # One transparent pixel under a palette, as published for testing browsers.
+    tiny = bytes.fromhex("524946461a000000574542505650384c0d0000002f00000010071011118888fe0700")
+    assert media.decode(tiny).tolist() == [[[0, 0, 0, 0]]] and media.decode_parts(tiny)[1] == {"palette"}
+    head = [(0x2F, 8), (7, 14), (3, 14), (1, 1), (0, 3), (0, 1)]
+    one = lambda s: [(1, 1), (0, 1), (1, 1), (s, 8)]
+    none = [(1, 1), (0, 1), (0, 1), (0, 1)]
+    # 8 x 4 pixels, two tiles of 4 x 4 under codes of their own: one colour each.
+    tiles = [(0, 1), (1, 1), (0, 3), (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (1, 8), *none * 4, (0, 1), (1, 1)]
+    groups = [*one(10), *one(20), *one(30), *one(255), *none, *one(11), *one(21), *one(31), *one(7), *none]
+    want = np.array([[[20, 10, 30, 255]] * 4 + [[21, 11, 31, 7]] * 4] * 4)
+    assert (media.decode(media._file(stream(*head, *tiles, *groups))) == want).all()
+    # A code of three lengths, a literal, then a copy of 31 pixels from the pixel before: green symbols 5 and 256 + 9 (25 to 32, 3 more bits).
+    inner = {0: 1, 1: 2, 18: 2}  # words 0, 10, 11
+    code = [(0, 1), (15, 4), *[(inner.get(k, 0), 3) for k in media.CODE_LENGTH_ORDER], (0, 1)]
+    zeros = lambda n: [(0b11, 2), (n - 11, 7)]
+    first = [*[(0, 1)] * 5, (0b01, 2), *zeros(138), *zeros(121), (0b01, 2), *zeros(14)]
+    copy = [(0, 1), (1, 1), (31 - 25, 3)]  # the distance's lone symbol 1 is code 2: one pixel to the left
+    far = [(1, 1), (0, 1), (0, 1), (1, 1)]
+    data = stream(*head, (0, 1), (0, 1), *code, *first, *one(1), *one(2), *one(3), *far, *copy)
+    pixels, met = media.decode_parts(media._file(data))
+    assert (pixels == [1, 5, 2, 3]).all() and pixels.shape == (4, 8, 4) and met == {"references"}
+
+
+def test_every_part_occurs_and_repetition_shrinks(spark):
+    got = media.media_digest(table(spark, "/root/testdata/sf0.01", "documents")).select("parts", "payload_bytes", "media_bytes").toPandas()
+    assert all(got["parts"].str.contains(p).sum() > 10 for p in media.PARTS)
+    assert got["media_bytes"].sum() < 0.7 * got["payload_bytes"].sum()
+    assert len(media.store(b"the same words again and again; " * 400)[0]) < 400
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_code_lengths_are_huffman(seed):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 50, 40) if seed else np.array([1 << k for k in range(40)])  # the latter must be flattened
+    lengths = media.code_lengths(counts)
+    assert sum(2.0 ** -int(n) for n in lengths if n) == 1 and lengths.max() <= 15 and ((lengths > 0) == (counts > 0)).all()
+    import heapq
+
+    heap = [int(c) for c in counts if c]
+    heapq.heapify(heap)
+    cost = 0
+    while len(heap) > 1:
+        cost += (both := heapq.heappop(heap) + heapq.heappop(heap))
+        heapq.heappush(heap, both)
+    assert seed == 0 or (counts * lengths).sum() == cost
 
 
 # Pieces
