@@ -3,6 +3,8 @@ the folder that all executors share, and chunked access to Arrow batches."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,21 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share."""
+    """The folder that the driver and every executor share: spark.checkpoint.dir. Only
+    where all run in one process may it be unset, and is a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints"
     return found.rstrip("/")
 
 
-def spool(df: DataFrame) -> DataFrame:
+def spool(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and
-    a lost executor costs a read, not a recomputation."""
+    a lost executor costs a read, not a recomputation. `done` are spools that
+    nothing reads from now on; they are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled_at = path
+    unspool(*done)
+    return out
+
+
+def unspool(*done: DataFrame) -> None:
+    """Delete spools that nothing reads any more."""
+    for df in done:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.spooled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with the fewest underscores that no column of df has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:

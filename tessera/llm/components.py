@@ -19,9 +19,10 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         large = spool(large)
+        before = edges
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = spool(small.unionByName(least.select("x", F.col("m").alias("y"))).where("x <> y").distinct())
+        edges = spool(small.unionByName(least.select("x", F.col("m").alias("y"))).where("x <> y").distinct(), before, large)
         got = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if got == state:
             break

@@ -5,17 +5,20 @@ equal strings meet. Neighbouring strings with one anchor form a region; only
 regions whose anchor occurs elsewhere too are gathered. Equal regions are counted
 first. The different regions of an anchor share a shard: their bytes are
 concatenated, the suffix array is induced, and permuted common prefixes of SPAN
-and more mark strings that occur again. An anchor whose different regions exceed
-HOT_BYTES is dealt anew by its single strings, which spreads any hot passage.
+and more mark strings that occur again. Where the different regions of an anchor
+exceed HOT_BYTES, they are parted by content: by where the anchor lies in a string,
+in ever shorter stretches (WIDTHS), and by the bytes that all strings of the stretch
+have around it. Equal strings stay together; the parts go through suffix arrays too.
 
-Texts are compared as 128-bit digests of all their bytes when whole texts or
-regions are equal. Defined results: a null text is empty; texts below SPAN bytes
+Equal texts are known by 128 bits of their SHA-256, equal regions by 128-bit
+digests. Defined results: a null text is empty; texts below SPAN bytes
 keep everything; of equal rows each removes all (each string occurs in the other);
 null ids pass through; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, prefix_sums, span_hash, spool, table, utf8
 
 SPAN, KEY, MOST_STARTS = 200, 40, 400
-HOT_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
+HOT_BYTES, SHARD_BYTES = 256 << 10, 1 << 20
+WIDTHS = (64, 16, 4, 1)
 PIECE = 1 << 20
 
 
@@ -95,48 +99,57 @@ def _push(s: np.ndarray, places: np.ndarray, wanted: np.ndarray, lists: dict[int
     _deal(before, s[before], lists)
 
 
-def by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names by their first depth names."""
-    n, k = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (int(after.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        k *= 2
-        if k >= depth or k >= n or new.max() == n - 1:
-            return order
-        rank = new
-
-
-def suffix_array(s: np.ndarray, size: int, depth: int = SPAN) -> np.ndarray:
-    """Suffixes of s in the order of (at least) their first depth symbols; s ends
-    with its only 0, and its symbols are below size."""
+def induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same for a string of names, whose many buckets hold a few suffixes each: they
+    are filled one suffix at a time."""
+    ends = np.cumsum(np.bincount(s, minlength=size))
+    before = np.concatenate(([-1], s[:-1], [-1]))  # the letter before each suffix; an empty place has none
+    kind = np.concatenate(([True], small[:-1], [True]))
+    larger, smaller = np.where(kind, -1, before).tolist(), np.where(kind, before, -1).tolist()
+    order, tail = [-1] * len(s), ends.tolist()
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
+        tail[c] -= 1
+        order[tail[c]] = i
+    head = [0, *ends.tolist()]
+    for i in order:  # what is put ahead is met later in the same pass
+        c = larger[i]
+        if c >= 0:
+            order[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in reversed(order):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] -= 1
+            order[tail[c]] = i - 1
+    return np.array(order, np.int64)
+
+
+def suffix_array(s: np.ndarray, size: int, inducing=induce) -> np.ndarray:
+    """The suffixes of s in order; s ends with its only 0, and its symbols are below size.
+    Leftmost-smaller substrings are sorted by inducing, named by their ranks, and where
+    two are equal the string of names is sorted the same way first."""
     if len(s) == 1:
         return np.zeros(1, np.int64)
     small = types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) <= 1:
-        return _with_last(s, induce(s, small, lms, size))
-    first = _with_last(s, induce(s, small, lms, size))
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    ranked = first[is_lms[first]]
-    ends = np.append(lms[1:] + 1, len(s))
-    nth = np.zeros(len(s), np.int64)
-    nth[lms] = np.arange(len(lms))
-    hashes = span_hash(prefix_sums(s), lms, ends)[nth[ranked]]
-    name = np.zeros(len(lms), np.int64)
-    name[nth[ranked]] = np.concatenate(([0], np.cumsum(hashes[1:] != hashes[:-1])))
-    kinds = int(name.max()) + 1
-    if kinds < len(lms):
-        # A large alphabet has buckets of a few suffixes; there, doubling ends the recursion.
-        inner = by_doubling(name, depth) if kinds > 512 else suffix_array(np.append(name + 1, 0), kinds + 1, depth)[1:]
-        ranked = lms[inner]
-    return _with_last(s, induce(s, small, ranked, size))
+    ranked = lms
+    if len(lms) > 1:
+        first = _with_last(s, inducing(s, small, lms, size))
+        is_lms = np.zeros(len(s), bool)
+        is_lms[lms] = True
+        ranked = first[is_lms[first]]
+        ends = np.append(lms[1:] + 1, len(s))
+        nth = np.zeros(len(s), np.int64)
+        nth[lms] = np.arange(len(lms))
+        hashes = span_hash(prefix_sums(s), lms, ends)[nth[ranked]]
+        name = np.zeros(len(lms), np.int64)
+        name[nth[ranked]] = np.concatenate(([0], np.cumsum(hashes[1:] != hashes[:-1])))
+        kinds = int(name.max()) + 1
+        if kinds < len(lms):
+            # The last name is that of the end mark, the least and only one: names are such a string too.
+            ranked = lms[suffix_array(name, kinds, induce_each)]
+    return _with_last(s, inducing(s, small, ranked, size))
 
 
 def _with_last(s: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -243,7 +256,30 @@ def _digest(b: bytes) -> tuple[int, int]:
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return out.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text"), "row": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    half = lambda at: F.conv(F.substring(F.sha2("text", 256), at, 16), 16, -10).cast("long")
+    return out.withColumns({"a": half(1), "b": half(17), "row": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+
+
+def parted(content: bytes, width: int) -> list[tuple[int, int, int]]:
+    """A region as runs of strings: (first start, number of starts, key). The strings of
+    a run have the anchor's first occurrence in them at offsets of one stretch of width
+    offsets; the key names the stretch and the bytes that each string with an offset of
+    it has, so equal strings have equal keys."""
+    data = np.frombuffer(content, np.uint8)
+    first = np.arange(len(data) - KEY + 1)
+    h = span_hash(prefix_sums(data), first, first + KEY)
+    found = np.flatnonzero(h == h[: SPAN - KEY + 1].min())
+    start = np.arange(len(data) - SPAN + 1)
+    anchor = found[np.searchsorted(found, start)]
+    stretch = (anchor - start) // width
+    cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])) + 1
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)], strict=True):
+        low = int(stretch[a]) * width
+        high = min(low + width - 1, SPAN - KEY)
+        common = content[int(anchor[a]) - low : int(anchor[a]) - high + SPAN]
+        out.append((a, b - a, xxhash.xxh3_64_intdigest(common, seed=width << 8 | low) - (1 << 63)))
+    return out
 
 
 def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,24 +314,35 @@ def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out[name].append(x)
         return out
 
-    regions = spool(arrow_map(one, cut, "a long, b long, v long, start int, size int, r1 long, r2 long, content binary"))
-    kinds = spool(regions.groupBy("v", "r1", "r2").agg(F.count("*").alias("times"), F.max(F.octet_length("content")).alias("bytes")))
-    groups = kinds.groupBy("v").agg(F.sum("bytes").alias("all_bytes"))
-    hot = spool(groups.where(F.col("all_bytes") > HOT_BYTES).select("v"))
-
-    def single(batch):
-        out = {k: [] for k in ("a", "b", "start", "w1", "w2")}
-        for a, b, start, content in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("start").to_pylist(), utf8(batch.column("content")), strict=True):
-            for j in range(len(content) - SPAN + 1):
-                w1, w2 = _digest(content[j : j + SPAN])
-                for name, x in (("a", a), ("b", b), ("start", start + j), ("w1", w1), ("w2", w2)):
-                    out[name].append(x)
-        return out
-
-    schema = "a long, b long, start int, w1 long, w2 long"
-    singles = spool(arrow_map(regions.join(hot, "v").select("a", "b", "start", "content"), single, schema, text="content", limit=1 << 16))
-    again = singles.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-    from_singles = singles.join(again, ["w1", "w2"]).select("a", "b", "start", (F.col("start") + SPAN).alias("end"))
+    regions = spool(arrow_map(one, cut, "a long, b long, v long, start int, size int, r1 long, r2 long, content binary"), found)
+    placed, contents = regions.select("a", "b", "start", "size", "v", "r1", "r2"), regions.select("v", "r1", "r2", "content")
+    all_placed, shards, done = [], [], [regions]
+    for width in WIDTHS:
+        sizes = contents.groupBy("v", "r1", "r2").agg(F.max(F.octet_length("content")).alias("bytes"))
+        hot = spool(sizes.groupBy("v").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("v"))
+        done.append(hot)
+        if hot.isEmpty():
+            break
+        all_placed.append(placed.join(hot, "v", "left_anti"))
+        shards.append(contents.join(hot, "v", "left_anti"))
+
+        def part(batch, width=width):
+            out = {k: [] for k in ("r1", "r2", "at", "size", "v", "s1", "s2", "content")}
+            for r1, r2, content in zip(batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), utf8(batch.column("content")), strict=True):
+                for at, size, v in parted(content, width):
+                    own = content[at : at + size + SPAN - 1]
+                    s1, s2 = _digest(own)
+                    for name, x in (("r1", r1), ("r2", r2), ("at", at), ("size", size), ("v", v), ("s1", s1), ("s2", s2), ("content", own)):
+                        out[name].append(x)
+            return out
+
+        different = contents.join(hot, "v").groupBy("r1", "r2").agg(F.first("content").alias("content"))
+        parts = spool(arrow_map(different, part, "r1 long, r2 long, at int, size int, v long, s1 long, s2 long, content binary", text="content", limit=1 << 16))
+        inner = placed.join(hot, "v", "left_semi").select("a", "b", "start", "r1", "r2").join(parts.drop("content"), ["r1", "r2"])
+        placed = spool(inner.select("a", "b", (F.col("start") + F.col("at")).alias("start"), "size", "v", F.col("s1").alias("r1"), F.col("s2").alias("r2")))
+        contents = parts.select("v", F.col("s1").alias("r1"), F.col("s2").alias("r2"), "content")
+        done += [parts, placed]
+    all_placed, shards = (functools.reduce(DataFrame.unionByName, x) for x in ([*all_placed, placed], [*shards, contents]))
 
     def sort_shards(batches):
         import pyarrow as pa
@@ -322,16 +369,15 @@ def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield flush()
 
-    one_each = regions.join(hot, "v", "left_anti").groupBy("v", "r1", "r2").agg(F.first("content").alias("content"))
-    shards = one_each.repartition("v").sortWithinPartitions("v", "r1", "r2")
-    inside = shards.mapInArrow(sort_shards, "r1 long, r2 long, starts array<int>, ends array<int>")
-    counted = kinds.where("times > 1").join(hot, "v", "left_anti").select("r1", "r2", F.lit(True).alias("whole"))
+    one_each = shards.groupBy("v", "r1", "r2").agg(F.first("content").alias("content"))
+    inside = one_each.repartition("v").sortWithinPartitions("v", "r1", "r2").mapInArrow(sort_shards, "r1 long, r2 long, starts array<int>, ends array<int>")
+    counted = all_placed.groupBy("r1", "r2").agg(F.count("*").alias("times")).where("times > 1").select("r1", "r2", F.lit(True).alias("whole"))
     verdict = counted.join(inside, ["r1", "r2"], "full")
-    placed = regions.select("a", "b", "start", "size", "r1", "r2").join(verdict, ["r1", "r2"])
+    judged = all_placed.select("a", "b", "start", "size", "r1", "r2").join(verdict, ["r1", "r2"])
     all_of_it = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size") + (SPAN - 1)).alias("end")))
     some = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((F.col("start") + x["starts"]).alias("start"), (F.col("start") + x["ends"]).alias("end")))
-    from_regions = placed.select("a", "b", F.explode(F.when(F.col("whole"), all_of_it).otherwise(some)).alias("p")).select("a", "b", "p.start", "p.end")
-    return classes, from_regions.unionByName(from_singles)
+    spans = judged.select("a", "b", F.explode(F.when(F.col("whole"), all_of_it).otherwise(some)).alias("p")).select("a", "b", "p.start", "p.end")
+    return classes, spool(spans, *done)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, suffixes
+from tessera.llm.common import table
 from tessera.llm.components import components
 
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -151,7 +152,7 @@ def removal_of(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [4 << 20, 500])
+@pytest.mark.parametrize("hot", [4 << 20, 500, 0])
 def test_removal_of_odd_rows(odd, odd_rows, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
     rows = [(r[0], r[1]) for r in odd_rows]
@@ -174,7 +175,8 @@ def test_suffix_arrays():
         b = [rng.randrange(k) for _ in range(n)]
         b += b[: rng.randrange(n + 1)] if rng.random() < 0.5 else []
         s = np.array([c + 1 for c in b] + [0])
-        order = suffixes.suffix_array(s, k + 1, 10**9)
+        order = suffixes.suffix_array(s, k + 1)
+        assert order.tolist() == suffixes.suffix_array(s, k + 1, suffixes.induce_each).tolist()
         full = s.tolist()
         assert order.tolist() == sorted(range(len(full)), key=lambda i: full[i:])
         before, common = suffixes.common_prefixes(s, order, 10**6)
@@ -185,6 +187,47 @@ def test_suffix_arrays():
             assert (before[i], common[i]) == (j, n)
 
 
+def test_names_are_sorted_by_recursion(spark, sf, monkeypatch):
+    texts = [r.text.encode() for r in table(spark, sf, "documents").select("text").where("text IS NOT NULL").collect()]
+    inner, sizes = suffixes.suffix_array, []
+
+    def counting(s, *more):
+        sizes.append(len(s))
+        return inner(s, *more)
+
+    monkeypatch.setattr(suffixes, "suffix_array", counting)
+    shard = [t[:4000] for t in texts[:60]]
+    assert [x.tolist() for x in suffixes.repeated_starts(shard)] == starts_of(shard)
+    assert len(sizes) >= 3 and all(2 * b <= a for a, b in zip(sizes, sizes[1:], strict=False))  # names, and names of names
+
+
+@pytest.mark.parametrize("hot", [256 << 10, 2000, 0])
+def test_removal_around_a_hot_passage(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
+    rng = random.Random(8)
+    new = lambda n, of="abcdefgh ": "".join(rng.choice(of) for _ in range(n))
+    passage, edges = new(150), [new(60) for _ in range(4)]
+    rows = [(k, new(rng.randrange(300)) + rng.choice(edges) + passage + rng.choice([rng.choice(edges), new(80)]) + new(rng.randrange(300))) for k in range(60)]
+    rows += [(100 + k, "ab" * (90 + 15 * k) + passage + "x" * rng.randrange(400)) for k in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in suffixes.without_repeats(frame).collect()), key=repr) == removal_of(rows)
+
+
+@pytest.mark.parametrize("width", suffixes.WIDTHS)
+def test_parting_keeps_equal_strings_together(width):
+    rng = random.Random(width)
+    key = {}
+    for _ in range(30):
+        text = bytes(rng.choice(b"ab") for _ in range(60)) * 12 + bytes(rng.choice(b"abc") for _ in range(300))
+        for v, start, size, _ in zip(*suffixes.anchors(text), strict=True):
+            content, covered = text[start : start + size + 199], []
+            for at, n, k in suffixes.parted(content, width):
+                covered += range(at, at + n)
+                for j in range(at, at + n):
+                    assert key.setdefault(content[j : j + 200], (v, k)) == (v, k)
+            assert covered == list(range(size))
+
+
 def starts_of(regions):
     count = collections.Counter(r[k : k + 200] for r in regions for k in range(len(r) - 199))
     return [[k for k in range(len(r) - 199) if count[r[k : k + 200]] > 1] for r in regions]
