@@ -4,10 +4,11 @@ Two sets link if 100 * |A and B| >= 75 * |A or B|. Equal sets are one class, kno
 by 64 bits of their digest, as shingles are by theirs. Then:
 
 1. Two similar sets share a shingle among the first quarter (and one) of each, in
-   any one order of all shingles. The order here is by hash, but shingles that
-   over HEAVY classes share come last, so that no common passage gathers its
-   documents. A set whose first shingles are mostly heavy is matched by all its
-   light shingles against the others, and by its first quarter in plain order
+   any one order of all shingles. The order here is by hash, but common shingles
+   come last, so that no common passage gathers its documents: those that a sample
+   of the texts shows to be in very many, and those that over HEAVY classes turn out
+   to share. A set whose first shingles are mostly common is matched by all its
+   other shingles against the rest, and by its first quarter in plain order
    against its like; no link is lost.
 2. The classes that share a shingle are points: counts of shingles by hashed
    group, of as many groups as keep a group at a few shingles. A packed R-tree over the points bounds each overlap by the sum
@@ -17,26 +18,33 @@ by 64 bits of their digest, as shingles are by theirs. Then:
    are verified on the shingle sets of the whole texts. A class that is already
    reached isn't compared again, so copies cost no quadratic work.
 
-A group of over BLOCK classes is split into blocks, and each two blocks meet in a
-task of their own. Defined results: null text or text without words has an empty
+A group of over BLOCK classes is dealt to blocks. One class of each block is
+compared with those of the others; then only what this leaves apart from the group's
+largest part is compared with the whole group, so a group of any number of copies is
+read about once. Defined results: null text or text without words has an empty
 set and links with nothing; a text below five words is one shingle; null ids get a
 component, but never name one unless all its ids are null; equal rows are linked;
-an empty table gives none; further columns are ignored.
+an empty table gives none; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, mix, spool, table, utf8, word_hashes
+from tessera.llm.common import arrow_map, mix, spool, table, unspool, unused, utf8, word_hashes
 from tessera.llm.components import components
 
-WORDS, DIMENSIONS, PER_LEVEL, HEAVY, BLOCK, LEAF = 5, 128, 600, 256, 2048, 32
+WORDS, DIMENSIONS, PER_LEVEL, HEAVY, BLOCK, LEAF = 5, 128, 600, 256, 1024, 32
 BUCKET_SHINGLES, MOST_BROADCAST = 2_000_000, 500_000
+#: One text of SAMPLE shows which shingles are common: those in LEAST texts of the sample
+#: and in more than one of MOST_COMMON of its shingles, so at most MOST_COMMON are.
+SAMPLE, LEAST, MOST_COMMON = 64, 16, 1_000_000
 NUMERATOR, DENOMINATOR = 3, 4  # the least similarity, 0.75
 NO_ID = (1 << 63) - (1 << 40)  # row numbers from here on stand for null ids, by text
 _TURNS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
@@ -161,14 +169,40 @@ def _reach(sizes: np.ndarray, points: np.ndarray, similar) -> list[tuple[int, in
     return out
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, a digest of the text, id, n and point of each row of docs."""
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """The shingles, in order, that a sample of the texts shows to be common. Whether one
+    is found here decides only how its sets are matched, not which of them link."""
+    limit = LEAST
+
+    def each(batch):
+        h, n = np.unique(np.concatenate([shingles(t) for t in utf8(batch.column("text"))]), return_counts=True)
+        return {"h": h.view(np.int64), "n": n}
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = spool(arrow_map(sample, each, "h long, n long", limit=1 << 22).groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(limit, total // MOST_COMMON + 1)).select("h").toPandas()["h"].to_numpy(np.int64)  # at most MOST_COMMON
+    unspool(counts)
+    return np.sort(found.view(np.uint64))
+
+
+def _but(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """s without what is in common (sorted)."""
+    if not len(common) or not len(s):
+        return s
+    return s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
+
+
+def sets_of(rows: DataFrame, common) -> DataFrame:
+    """doc_id, row, a digest of the text, id, n, point and `plain`, the number of
+    shingles that aren't common, of each row; common is a broadcast of an array."""
 
     def each(batch):
         sets = [shingles(t) for t in utf8(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "digest": batch.column("digest"), "id": [set_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point(s).tobytes() if len(s) else None for s in sets]}
+        out = {"id": [set_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point(s).tobytes() if len(s) else None for s in sets], "plain": [len(_but(s, common.value)) for s in sets]}
+        return out | {k: batch.column(k) for k in ("doc_id", "row", "digest")}
 
-    return arrow_map(docs.select("doc_id", "row", "text", F.xxhash64("text").alias("digest")), each, "doc_id long, row long, digest long, id long, n int, point binary")
+    return arrow_map(rows.select("doc_id", "row", "text", F.xxhash64("text").alias("digest")), each, "doc_id long, row long, digest long, id long, n int, point binary, plain int")
 
 
 def _row_number() -> Column:
@@ -189,10 +223,10 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(wanted, "row")
 
 
-def _shared_shingles(rows: DataFrame, total: int) -> DataFrame:
-    """(id, at, shingle, k): the first shingles, by hash, of each class that another
-    class has among its first too. k is the number of such classes, at most
-    HEAVY + 1; at is the set's size and the shingle's place in it.
+def _shared_shingles(rows: DataFrame, total: int, common) -> DataFrame:
+    """(id, at, shingle, k): the first shingles, by hash and but for common ones, of
+    each class that another class has among its first too. k is the number of such
+    classes, at most HEAVY + 1; at is the set's size and the shingle's place in it.
 
     Shingles travel as packed blocks by hash range, 20 bytes or less each."""
     buckets, limit = total // BUCKET_SHINGLES + 32, HEAVY
@@ -203,7 +237,7 @@ def _shared_shingles(rows: DataFrame, total: int) -> DataFrame:
         known = dict((set_id(s), s) for s in sets if len(s))  # copies in a piece go as one
         if not known:
             return {"bucket": [], "shingle": [], "nth": [], "place": [], "ids": [], "sizes": []}
-        first = [s[: first_part(len(s)) + _slack(len(s))] for s in known.values()]
+        first = [_but(s, common.value)[: first_part(len(s)) + _slack(len(s))] for s in known.values()]
         shingle = np.concatenate(first)
         nth = np.repeat(np.arange(len(first), dtype=np.uint32), [len(f) for f in first])
         place = np.concatenate([np.arange(len(f), dtype=np.uint32) for f in first])
@@ -258,23 +292,40 @@ def _slack(n: int) -> int:
     return n // 10 + 8
 
 
-def _all_shingles(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _all_shingles(rows: DataFrame, classes: DataFrame, common) -> DataFrame:
+    """(kind, shingle, ids) of the given classes: kind 0 for shingles that aren't common,
+    kind 1 for those of the first quarter in plain order. What the classes of a piece of
+    the table share goes as one row."""
+
     def each(batch):
-        out = {"id": [], "shingle": []}
+        found = {0: ([], []), 1: ([], [])}
         for text, known in zip(utf8(batch.column("text")), batch.column("id").to_pylist(), strict=True):
             s = shingles(text)
             if len(s) and set_id(s) == known:
-                out["id"].append(np.full(len(s), known))
-                out["shingle"].append(s.view(np.int64))
-        return {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in out.items()}
+                for kind, part in ((0, _but(s, common.value)), (1, s[: first_part(len(s))])):
+                    found[kind][0].append(part)
+                    found[kind][1].append(np.full(len(part), known))
+        out = {"kind": [], "shingle": [], "ids": []}
+        for kind, (parts, ids) in found.items():
+            if parts:
+                all_of, ids = np.concatenate(parts), np.concatenate(ids)
+                by = np.argsort(all_of, kind="stable")
+                all_of, ids = all_of[by].view(np.int64), ids[by]
+                cuts = np.flatnonzero(np.diff(all_of)) + 1
+                if len(all_of):
+                    out["shingle"] += all_of[np.concatenate(([0], cuts))].tolist()
+                    out["ids"] += [x.tolist() for x in np.split(ids, cuts)]
+                    out["kind"] += [kind] * (len(cuts) + 1)
+        return out
 
-    return arrow_map(_texts(rows, classes.select("id", "row")), each, "id long, shingle long")
+    return arrow_map(_texts(rows, classes.select("id", "row")), each, "kind int, shingle long, ids array<long>", limit=1 << 23)
 
 
-def _keys(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+def _keys(rows: DataFrame, classes: DataFrame, total: int, common) -> DataFrame:
     """(key, id): classes that may be similar share a key."""
-    shared = spool(_shared_shingles(rows, total))
-    by_class = shared.groupBy("id").agg(F.collect_list(F.struct("at", "shingle", "k")).alias("s"))  # bounded by one text
+    shared = spool(_shared_shingles(rows, total, common))
+    first = shared.join(classes.select("id", "plain"), "id")
+    by_class = first.groupBy("id", "plain").agg(F.collect_list(F.struct("at", "shingle", "k")).alias("s"))  # bounded by one text
 
     limit = HEAVY
 
@@ -287,46 +338,88 @@ def _keys(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
         offsets = batch.column("s").offsets.to_numpy()
         flat = batch.column("s").values
         at, sh, k = (flat.field(n).to_numpy() for n in range(3))
-        for j, i in enumerate(batch.column("id").to_pylist()):
+        for j, (i, plain) in enumerate(zip(batch.column("id").to_pylist(), batch.column("plain").to_pylist(), strict=True)):
             a, b = offsets[j], offsets[j + 1]
             by = np.argsort(at[a:b])
             place, s, times, n = (at[a:b] & 0xFFFFFFFF)[by], sh[a:b][by], k[a:b][by], int(at[a] >> 32)
             heavy = times > limit
             light_rank = place - (np.cumsum(heavy) - heavy)
-            sent, part = min(n, first_part(n) + _slack(n)), first_part(n)
+            sent, part = min(plain, first_part(n) + _slack(n)), first_part(n)
             if sent - heavy.sum() >= part:
                 put(i, 0, s[~heavy & (light_rank < part)])
             else:
                 put(i, 0, s[~heavy])
-                put(i, 1, s[place < part])
                 put(i, 2, np.zeros(1, np.int64))
         return {name: np.concatenate(x) if x else np.zeros(0, np.int64) for name, x in out.items()}
 
-    chosen = spool(arrow_map(by_class.withColumn("text", F.lit("x" * 64)), choose, "id long, kind int, shingle long"))
-    lacking = classes.join(chosen.where("kind = 2").select("id"), "id", "left_semi")
-    asked = chosen.where("kind = 0").select("shingle").distinct()  # no other shingle can meet one of these sets
-    rest = _all_shingles(rows, lacking).join(asked, "shingle", "left_semi").select("id", F.lit(0).alias("kind"), "shingle")
-    keys = chosen.where("kind < 2").unionByName(rest).select("id", F.xxhash64("kind", "shingle").alias("key")).distinct()
-    return spool(keys)
+    chosen = spool(arrow_map(by_class.withColumn("text", F.lit("x" * 64)), choose, "id long, kind int, shingle long"), shared)
+    few = F.col("plain") < F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1  # less than its first part is not common
+    lacking = classes.join(chosen.where("kind = 2").select("id").unionByName(classes.where(few).select("id")).distinct(), "id", "left_semi")
+    rest = spool(_all_shingles(rows, lacking, common))
+    asked = chosen.where("kind = 0").select("shingle").distinct()  # no other shingle can meet one of the rest
+    rest_keys = rest.where("kind = 0").join(asked, "shingle", "left_semi").unionByName(rest.where("kind = 1").select("shingle", "kind", "ids"))
+    rest_keys = rest_keys.select(F.xxhash64("kind", "shingle").alias("key"), F.explode("ids").alias("id"))
+    keys = chosen.where("kind = 0").select(F.xxhash64("kind", "shingle").alias("key"), "id").unionByName(rest_keys)
+    return spool(keys.distinct(), chosen, rest)
 
 
 def _different(keys: DataFrame) -> DataFrame:
     """keys without those that hold no other ids than another key: the classes of a
     family share many shingles, and one says all."""
     each = keys.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("v")).where("k > 1")
-    return spool(keys.join(each.groupBy("k", "u", "v").agg(F.min("key").alias("key")).select("key"), "key"))
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """members (key, id, ...) with each two blocks of a key's ids in a cell: `cell` is a hash of
-    key and blocks; a key of up to BLOCK ids has one block. Keys of one id are gone."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    out = members.join(sizes, "key").withColumn("mine", mine).withColumn("pair", F.explode(pairs))
-    # A cell of one block only repeats what its cells with other blocks compare.
-    out = out.where("blocks = 1 OR pair.i <> pair.j")
-    return out.withColumn("cell", F.xxhash64("key", "pair.i", "pair.j")).drop("mine", "pair", "blocks")
+    return spool(keys.join(each.groupBy("k", "u", "v").agg(F.min("key").alias("key")).select("key"), "key"), keys)
+
+
+def _connected(members: DataFrame, group, columns: list[str]) -> DataFrame:
+    """(x, y): links that group() finds, enough to connect in each key of members (key,
+    id, columns) what all its links connect. A key of over BLOCK ids is dealt to
+    blocks, and what these leave apart is compared in three steps."""
+    sizes = spool(members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", _block_count("k").alias("blocks")))
+    largest = sizes.agg(F.max("blocks")).first()[0] or 0
+    dealt = members.join(sizes, "key").withColumn("block", _block_of("blocks"))
+    links = spool(_by_cell(dealt.withColumn("cell", F.xxhash64("key", "block")), group, columns))
+    if largest < 2:
+        unspool(sizes)
+        return links
+    big = spool(dealt.where("blocks > 1"))
+    # One of each block's largest part meets those of the other blocks, block by block.
+    named = spool(big.select("key", "block", "id").join(_labels(links), "id", "left").select("key", "block", "id", F.coalesce("root", "id").alias("root")))
+    leaders = named.groupBy("key", "block", "root").agg(F.count("*").alias("k"), F.min("id").alias("id")).groupBy("key", "block").agg(F.max_by("id", F.struct("k", "id")).alias("id"))
+    found, done = [links], [sizes, named]
+    while largest > 1:
+        counts = leaders.groupBy("key").agg(_block_count(F.count("*")).alias("blocks"))
+        leaders = spool(leaders.select("key", "id").join(counts, "key").withColumn("block", _block_of("blocks")))
+        largest = leaders.agg(F.max("blocks")).first()[0] or 0
+        cells = big.drop("blocks", "block").join(leaders, ["key", "id"]).withColumn("cell", F.xxhash64("key", "block"))
+        found.append(spool(_by_cell(cells, group, columns)))
+        done.append(leaders)
+        leaders = leaders.groupBy("key", "block").agg(F.min("id").alias("id"))
+    # What is still apart from a key's largest part meets all ids of the key.
+    labels = _labels(functools.reduce(DataFrame.unionByName, found))
+    named = spool(big.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), *done)
+    main = named.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    apart = spool(named.join(main, "key").where("root <> main").select("key", "id"))
+    counts = apart.groupBy("key").agg(_block_count(F.count("*")).alias("rest"))
+    mine = big.join(counts, "key").join(apart.select("key", "id", F.lit(True).alias("apart")), ["key", "id"], "left")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_rest = mine.where("apart").withColumn("i", _block_of("rest")).withColumn("j", F.explode(each("blocks")))
+    as_all = mine.withColumn("j", F.col("block")).withColumn("i", F.explode(each("rest"))).where(F.col("apart").isNull() | (F.col("i") != _block_of("rest")))
+    cells = as_rest.unionByName(as_all).withColumn("cell", F.xxhash64(F.lit(2), "key", "i", "j"))
+    found.append(spool(_by_cell(cells, group, columns), named))
+    unspool(apart, big)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _block_count(k: Column | str) -> Column:
+    return F.ceil((F.col(k) if isinstance(k, str) else k) / BLOCK).cast("int")
+
+
+def _block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(blocks).cast("long")).cast("int")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("id"), "root")
 
 
 def _by_cell(frame: DataFrame, group, columns: list[str]) -> DataFrame:
@@ -375,12 +468,9 @@ def _near(held: list) -> list:
 
 
 def _similar(held: list) -> list:
-    """Verified links among the texts of a cell."""
-    ids, sets = [], []
-    for known, text in zip(_column(held, "id").to_pylist(), utf8(_column(held, "text")), strict=True):
-        s = shingles(text)
-        if set_id(s) == known:
-            ids.append(known), sets.append(s)
+    """Verified links among the sets of a cell."""
+    known = dict(zip(_column(held, "id").to_pylist(), _column(held, "shingles").to_pylist(), strict=True))
+    ids, sets = list(known), [np.frombuffer(x, np.uint64) for x in known.values()]
     if len(ids) < 2:
         return []
 
@@ -422,19 +512,36 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
+def _with_shingles(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (key, id, row) with each class's shingles, packed."""
+
+    def each(batch):
+        out = {"key": [], "id": [], "shingles": []}
+        for text, key, known in zip(utf8(batch.column("text")), batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
+            s = shingles(text)
+            if set_id(s) == known:
+                for name, x in (("key", key), ("id", known), ("shingles", s.tobytes())):
+                    out[name].append(x)
+        return out
+
+    # A row number that stands for several equal texts gives an id more than once.
+    return arrow_map(_texts(rows, wanted).select("key", "id", "text"), each, "key long, id long, shingles binary")
+
+
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, the classes (id, row, digest) and (id, root) of each class."""
     rows = _rows(docs)
-    sets = spool(sets_of(rows))
-    classes = sets.where("n > 0").groupBy("id").agg(F.min(F.struct("row", "digest")).alias("least"), F.first("n").alias("n"), F.first("point").alias("point"))
-    classes = spool(classes.select("id", "least.row", "least.digest", "n", "point"))
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    sets = spool(sets_of(rows, common))
+    classes = sets.where("n > 0").groupBy("id").agg(F.min(F.struct("row", "digest")).alias("least"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("plain").alias("plain"))
+    classes = spool(classes.select("id", "least.row", "least.digest", "n", "point", "plain"))
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    keys = _different(_keys(rows, classes, total))
-    near = _by_cell(_blocks(keys).join(classes.select("id", "n", "point"), "id"), _near, ["id", "n", "point"]).distinct()
-    groups = components(near).select(F.col("node").alias("id"), F.col("root").alias("key"))
-    cells = _blocks(groups.join(classes.select("id", "row"), "id"))
-    links = _by_cell(_texts(rows, cells), _similar, ["id", "text"]).distinct()
-    roots = components(links).select(F.col("node").alias("id"), "root")
+    keys = _different(_keys(rows, classes, total, common))
+    near = _connected(keys.join(classes.select("id", "n", "point"), "id"), _near, ["id", "n", "point"])
+    groups = spool(components(near).select(F.col("node").alias("id"), F.col("root").alias("key")), keys)
+    members = spool(_with_shingles(rows, groups.join(classes.select("id", "row"), "id").select("key", "id", "row")).dropDuplicates(["key", "id"]), groups)
+    links = _connected(members, _similar, ["id", "shingles"])
+    roots = spool(components(links).select(F.col("node").alias("id"), "root"), members)
     return sets, classes, classes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
@@ -453,11 +560,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     every row without a word stays."""
     _, classes, roots = _components(docs)
     first = classes.join(roots, "id").groupBy("root").agg(F.min(F.struct("row", "digest")).alias("w")).select("w.*")
-    mine = docs.withColumns({"join row": _row_number(), "join digest": F.xxhash64(F.col("text").cast("string"))})
-    full = mine.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    kept = full.join(first.select(F.col("row").alias("join row"), F.col("digest").alias("join digest")), ["join row", "join digest"], "left_semi").dropDuplicates(["join row", "join digest"])
-    empty = mine.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, digest = unused(docs, "join_row"), unused(docs, "join_digest")
+    mine = docs.withColumns({row: _row_number(), digest: F.xxhash64(F.col("text").cast("string"))})
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = mine.where(has_words).join(first.select(F.col("row").alias(row), F.col("digest").alias(digest)), [row, digest], "left_semi").dropDuplicates([row, digest])
+    return kept.unionByName(mine.where(~has_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,10 @@ def test_join_of_nothing(none):
     assert ngram_join.one_of_each(none).columns == none.columns
 
 
-@pytest.mark.parametrize(("heavy", "block"), [(256, 4096), (2, 3)])
-def test_join_of_families(spark, monkeypatch, heavy, block):
-    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(("heavy", "block", "sample", "least"), [(256, 4096, 64, 16), (2, 3, 1, 4)])
+def test_join_of_families(spark, monkeypatch, heavy, block, sample, least):
+    for name, value in (("HEAVY", heavy), ("BLOCK", block), ("SAMPLE", sample), ("LEAST", least)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng, rows = random.Random(5), []
     boiler = " ".join(f"common{k}" for k in range(30))
     for family in range(12):
