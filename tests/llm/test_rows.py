@@ -249,17 +249,49 @@ def test_language_model_of_odd_rows(odd, odd_rows, none):
     assert all(r.score < 0 for r in got) and maxent_lm.scored(none).count() == 0
 
 
+def flat_slots(mass_of_heads, discount=0.4):
+    heads = np.arange(100, 100 + len(mass_of_heads)).astype(np.uint64) << np.uint64(20)
+    return maxent_lm.deal(heads, np.array(mass_of_heads, float), np.full(maxent_lm.TAILS, 30.0), np.full(maxent_lm.TAILS, 6.0), discount)
+
+
 def test_gradient_steps_learn():
     rng = np.random.default_rng(2)
-    h = rng.integers(0, 6, 6000).astype(np.uint64) + np.uint64(10)
-    classes = (np.roll(h, 1) % 4).astype(np.int64)  # a token's class follows from the one before
-    rows, bias = maxent_lm.features(h), np.zeros(maxent_lm.CLASSES, np.float32)
-    model = maxent_lm.Learner(np.zeros((maxent_lm.FEATURES, maxent_lm.CLASSES), np.float32), bias)
-    loss = lambda: -maxent_lm.class_logs(rows, model.weights, bias)[np.arange(len(h)), classes].mean()
+    slots = flat_slots(np.arange(900, 100, -1)[: maxent_lm.HEADS])
+    model = maxent_lm.Learner(maxent_lm.Model.flat(slots.mass))
+    run = rng.integers(0, 40, 6000)
+    run[1::2] = (run[::2] * 7 + 3) % maxent_lm.SLOTS  # every other slot follows from the one before
+    run = np.insert(run, np.arange(0, 6000, 100), maxent_lm.START)
+    at, rows = maxent_lm.features(run)
+    loss = lambda: -model.model.slot_logs(rows, run[at]).mean()
     before = loss()
-    for _ in range(20):
-        model.step(rows, classes)
-    assert loss() < 0.3 * before
+    for _ in range(40):
+        model.step(rows, run[at])
+    assert loss() < 0.5 * before
+
+
+def test_chances_of_all_tokens_sum_to_one():
+    rng = np.random.default_rng(3)
+    slots = flat_slots(rng.integers(1, 1000, maxent_lm.HEADS))
+    model = maxent_lm.Model.flat(slots.mass)
+    for w in (*model.outer, *model.inner):
+        w += rng.normal(0, 0.5, w.shape)
+    # Six tokens of a tail slot were counted 1, 3, 5, 6, 7 and 8 times; one more stands for all that were not.
+    tails = np.flatnonzero(slots.kinds)
+    assert len(tails) == maxent_lm.TAILS
+    inside = slots.shares(np.full(7, tails[0]), np.array([1, 3, 5, 6, 7, 8, 0]))
+    assert inside.sum() == pytest.approx(1) and (inside > 0).all()
+    assert slots.shares(slots.of_head[:1], np.array([5])) == [1]
+    for history in ([], [3], [3, 900], [5, 1, 1023]):
+        run = np.concatenate([[maxent_lm.START, *history, s] for s in range(maxent_lm.SLOTS)])
+        at, rows = maxent_lm.features(run)
+        last = np.arange(len(history), len(at), len(history) + 1)
+        assert np.exp(model.slot_logs([r[last] for r in rows], run[at[last]])).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_model_beats_the_base_on_held_out_rows(spark):
+    got = maxent_lm.scored(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").toPandas()
+    assert (got["score"] > got["base_score"]).mean() > 0.9
+    assert got["score"].sum() > 0.9 * got["base_score"].sum()
 
 
 # URLs
