@@ -10,16 +10,21 @@ backwards, with numbers that follow from the seed, the row's key and the place,
 so a segmentation is the same whenever it is made. Decoding joins the pieces'
 bytes, and gives the text back exactly: a literal U+2581 is spelt in bytes.
 
+A word of over LONG characters is first cut where no piece crosses, which leaves its
+paths and their chances as they are. Where that leaves over LONGEST characters in
+one, forward sums are kept a character, and the lattice is made anew, BLOCK
+characters at a time, as the path is drawn, so memory stays bounded.
+
 The model's path is a parameter; the driver reads it and sends the pieces (some
 hundred kB). Defined results: null text gives no pieces and decodes to an empty
-text; a word of over LONGEST characters is taken in stretches of so many; equal
-rows get equal pieces; a null id is seeded as the text 'null'; an empty table
+text; words of any length are sampled whole; equal rows get equal pieces; a null id is seeded as the text 'null'; an empty table
 gives none; further columns are ignored by the queries.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, id_and_text, mix, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, LONGEST, SPACE, SPELT = 17, 4096, 0x2581, 0x110000
+SEED, SPACE, SPELT = 17, 0x2581, 0x110000
+LONG, STRETCH, LONGEST, BLOCK = 128, 32, 2048, 1 << 15
 UNIT = re.compile(r" *[^ ]+| +")
 TURN = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 18
@@ -106,6 +112,74 @@ class Pieces:
         return chances, ids
 
 
+    def starting(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each start from low to high of one word and each piece length, the log
+        probability of that piece (none: -inf) and its id, below 0 for a spelt character."""
+        n = high - low
+        logs, ids = np.full((n, self.longest), -np.inf, np.float32), np.full((n, self.longest), -1, np.int32)
+        row, h = np.arange(n), np.zeros(n, np.uint64)
+        for k in range(self.longest):
+            inside = row + low + k < len(codes)
+            row, h = row[inside], h[inside]
+            h = mix(h + (codes[row + low + k] + np.uint64(1)) * TURN)
+            slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            same = self.slots[slot] == h[:, None]
+            going = same.any(1)
+            row, h = row[going], h[going]
+            if not len(row):
+                break
+            entry = self.entry[slot[going], same[going].argmax(1)]
+            logs[row, k], ids[row, k] = self.logs[entry], self.ids[entry]
+        spelt = ~np.isfinite(logs[:, 0])
+        logs[spelt, 0] = self.byte_log
+        return logs, ids
+
+    def cuts(self, codes: np.ndarray) -> list[int]:
+        """Places in a word that no piece crosses, STRETCH and more apart, with both ends."""
+        out, far = [0], 0
+        for low in range(0, len(codes), BLOCK):
+            high = min(len(codes), low + BLOCK)
+            logs, _ = self.starting(codes, low, high)
+            ends = np.arange(low, high) + self.longest - np.isfinite(logs[:, ::-1]).argmax(1)
+            ends = np.maximum(np.maximum.accumulate(ends), far)
+            before = np.concatenate(([far], ends[:-1]))  # how far pieces that start before each place go
+            for at in (np.flatnonzero(before <= np.arange(low, high)) + low).tolist():
+                if at - out[-1] >= STRETCH:
+                    out.append(at)
+            far = int(ends[-1])
+        return [*out, len(codes)] if len(codes) - out[-1] else out
+
+    def forward(self, codes: np.ndarray) -> np.ndarray:
+        """The log of the summed chances of all paths to each place of a word."""
+        out = [0.0] + [-math.inf] * len(codes)
+        for low in range(0, len(codes), BLOCK):
+            logs, _ = self.starting(codes, low, min(len(codes), low + BLOCK))
+            row, k = np.nonzero(np.isfinite(logs))
+            for start, end, log in zip((row + low).tolist(), (row + k + low + 1).tolist(), logs[row, k].tolist(), strict=True):
+                a, b = out[end], out[start] + log
+                if a < b:
+                    a, b = b, a
+                out[end] = a + math.log1p(math.exp(b - a))
+        return np.array(out)
+
+    def draw(self, codes: np.ndarray, forward: np.ndarray, seed: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """A path drawn backwards: where its pieces start, and their ids."""
+        at, low, high, step, starts, found = len(codes), 0, 0, 0, [], []
+        while at > 0:
+            if not high or at - self.longest < low and low > 0:
+                low, high = max(0, at - BLOCK), at
+                logs, ids = self.starting(codes, low, high)
+            k = np.arange(min(self.longest, at - low))
+            ways = np.exp(logs[at - 1 - low - k, k] + forward[at - 1 - k] - forward[at])
+            chance = np.cumsum(ways)
+            pick = int((chance[:-1] < chance[-1] * _uniform(np.array([seed], np.uint64), np.array([place]), step)[0]).sum())
+            at -= pick + 1
+            starts.append(at)
+            found.append(int(ids[at - low, pick]))
+            step += 1
+        return np.array(starts, np.int64), np.array(found, np.int64)
+
+
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
@@ -124,16 +198,27 @@ def _uniform(seeds: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     return ((h >> np.uint64(40)).astype(np.float64) + 0.5) / (1 << 24)
 
 
-def units(text: str) -> list[str]:
+def _codes(words: list[str], size: int) -> np.ndarray:
+    """Code points of words of one length, a space as the pieces write it."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64)
+    return np.where(codes == SPACE, np.uint64(SPELT + SPACE), np.where(codes == 32, np.uint64(SPACE), codes))
+
+
+def units(text: str, pieces: Pieces) -> list[str]:
+    """The words of a text with their leading spaces; a long one in the parts that no piece crosses."""
     found = UNIT.findall(text)
-    if max(map(len, found), default=0) > LONGEST:
-        found = [u[k : k + LONGEST] for u in found for k in range(0, len(u), LONGEST)]
-    return found
+    if max(map(len, found), default=0) <= LONG:
+        return found
+    out = []
+    for u in found:
+        cuts = pieces.cuts(_codes([u], len(u))[0]) if len(u) > LONG else [0, len(u)]
+        out += [u[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
 
 
 def encode(texts: list[str | None], seeds: list[int], pieces: Pieces) -> list[np.ndarray]:
     """Piece ids of each text, sampled with the row's seed."""
-    lists = [units(t) if t else [] for t in texts]
+    lists = [units(t, pieces) if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists])
     words: dict[str, int] = {}
     kinds = np.array([words.setdefault(w, len(words)) for x in lists for w in x], np.int64)
@@ -148,14 +233,22 @@ def encode(texts: list[str | None], seeds: list[int], pieces: Pieces) -> list[np
     kinds = rank[kinds]
     by_kind = np.argsort(kinds, kind="stable")
     first = np.searchsorted(kinds[by_kind], np.arange(len(names) + 1))
-    got_at, got_id = [], []
+    got_at, got_id, span = [], [], int(lengths[-1]) + 1
     for size in np.unique(lengths).tolist():
         low, high = np.searchsorted(lengths, [size, size + 1]).tolist()
+        if size > LONGEST:
+            for a in range(low, high):
+                codes = _codes([names[a]], size)[0]
+                forward = pieces.forward(codes)
+                for here in by_kind[first[a] : first[a + 1]].tolist():
+                    at, found = pieces.draw(codes, forward, int(seed[here]), int(place[here]))
+                    got_at.append(here * span + at)
+                    got_id.append(_spelt(found, codes, at))
+            continue
         step_by = max(1, 60_000 // size)
         for a in range(low, high, step_by):
             b = min(high, a + step_by)
-            codes = np.frombuffer("".join(names[a:b]).encode("utf-32-le"), np.uint32).reshape(b - a, size).astype(np.uint64)
-            codes = np.where(codes == SPACE, np.uint64(SPELT + SPACE), np.where(codes == 32, np.uint64(SPACE), codes))
+            codes = _codes(names[a:b], size)
             chances, ids = pieces.lattice(codes)
             here = by_kind[first[a] : first[b]]
             rows, at = kinds[here] - a, np.full(len(here), size)
@@ -165,23 +258,28 @@ def encode(texts: list[str | None], seeds: list[int], pieces: Pieces) -> list[np
                 k = (chances[rows, at - 1] < u[:, None]).sum(1)
                 found = ids[rows, at - 1, k].astype(np.int64)
                 at = at - k - 1
-                spelt = found < 0
-                if spelt.any():
-                    c = codes[rows[spelt], at[spelt]].astype(np.int64)
-                    found[spelt] = -1 - np.where(c == SPACE, 32, np.where(c >= SPELT, c - SPELT, c))
-                got_at.append(here * (LONGEST + 1) + at)
-                got_id.append(found)
+                got_at.append(here * span + at)
+                got_id.append(_spelt(found, codes, (rows, at)))
                 going = at > 0
                 here, rows, at, step = here[going], rows[going], at[going], step + 1
     at, found = np.concatenate(got_at), np.concatenate(got_id)
     by = np.argsort(at)
-    at, found = at[by] // (LONGEST + 1), found[by]
+    at, found = at[by] // span, found[by]
     text_of = np.repeat(np.arange(len(texts)), sizes)[at]
     if (found < 0).any():
         found, text_of = _spell(found, text_of, pieces)
     return np.split(found.astype(np.int32), np.searchsorted(text_of, np.arange(1, len(texts))))
 
 
+def _spelt(found: np.ndarray, codes: np.ndarray, at) -> np.ndarray:
+    """Ids, with -1 - code point for a character that is to be spelt."""
+    spelt = found < 0
+    if spelt.any():
+        c = codes[at][spelt].astype(np.int64)
+        found[spelt] = -1 - np.where(c == SPACE, 32, np.where(c >= SPELT, c - SPELT, c))
+    return found
+
+
 def _spell(found: np.ndarray, text_of: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Characters given as -1 - code point become the pieces of their bytes."""
     spelt = np.flatnonzero(found < 0)
