@@ -4,17 +4,21 @@ Each language has a model of order ORDER over the letters of its words, a word's
 edges included. All models lie in one sorted array of hashes an order, with a
 row of discounted probabilities and one of back-off weights, a column a language.
 The language of least cross-entropy a character wins; a softmax whose steepness
-is fitted on sampled documents that no count saw turns the lead into a score, and
-below reject_below the answer is `und`.
+is fitted on sampled documents that no count saw turns the lead into a score. The same
+documents give the rejection threshold: the bits a character that ACCEPTED of them
+stay below under the best model. Text that takes more is in no learnt language: its
+`accepted` is false, and with reject its answer is `und`.
 
 Counts come from at most SAMPLE rows a language (those of least hash). Defined
-results: null text, or text without a letter, is `und` with score 0, as is all
-text when no language could be learnt; ties go to the language that sorts first;
-repeated rows get equal results; null ids pass through.
+results: null text, or text without a letter, is `und` with score 0 and not accepted,
+as is all text when no language could be learnt; ties go to the language that sorts
+first; texts of any length are judged whole; repeated rows get equal results; null
+ids pass through; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, held_out, mix, table
 
-ORDER, SAMPLE, ALPHABET, MOST_WORDS = 4, 300, 5000, 300_000
+ORDER, SAMPLE, ALPHABET, MOST_WORDS, PIECE = 4, 300, 5000, 300_000, 1 << 18
+ACCEPTED = 0.99  # the share of the fitting documents that the rejection threshold lets pass
 WORD = re.compile(r"[^\W\d_]+")
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(ORDER + 1)]
 
@@ -88,7 +93,7 @@ class Models:
     """All languages' models, by order, as sorted hashes with a column a language."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
-        self.langs, self.heat = sorted(counts), 20.0
+        self.langs, self.heat, self.limit = sorted(counts), 20.0, math.inf
         each = [kneser_ney(counts[lang]) for lang in self.langs]
         self.alpha = [self._merge([(m[k][0], m[k][1]) for m in each], 0.0) for k in range(ORDER)]
         self.gamma = [self._merge([(m[k][2], m[k][3]) for m in each], 1.0) for k in range(ORDER)]
@@ -150,21 +155,26 @@ class Scorer:
         bits, sizes = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts))
         for k, words in enumerate(lists):
             if words:
-                at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                bits[k] = np.bincount(at - at.min()) @ self.rows[at.min() : at.max() + 1] if len(words) > 20_000 else self.rows[at].sum(0, dtype=np.float64)
+                for j in range(0, len(words), PIECE):
+                    at = np.fromiter(map(ids.__getitem__, words[j : j + PIECE]), np.int64)
+                    bits[k] += self.rows[at].sum(0, dtype=np.float64)
                 sizes[k] = sum(map(len, words)) + len(words)
         return bits / np.maximum(sizes, 1)[:, None], sizes
 
-    def answers(self, texts: list[str | None], reject_below: float = 0.0) -> tuple[list[str], np.ndarray]:
+    def answers(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language, its score, and whether the text is in any learnt language."""
         if not self.models.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         bits, sizes = self.totals(texts)
-        z = -self.models.heat * (bits - bits.min(1, keepdims=True))
+        least = bits.min(1, keepdims=True)
+        z = -self.models.heat * (bits - least)
         odds = np.exp(z) / np.exp(z).sum(1, keepdims=True)
         best = odds.argmax(1)
         score = odds[np.arange(len(texts)), best]
-        und = [not n or not any(c.isalpha() for c in t) or s < reject_below for t, n, s in zip(texts, sizes, score, strict=True)]
-        return ["und" if u else self.models.langs[b] for u, b in zip(und, best, strict=True)], np.where(und, 0.0, score)
+        letters = np.array([n > 0 and any(c.isalpha() for c in t) for t, n in zip(texts, sizes, strict=True)], bool)
+        accepted = letters & (least[:, 0] <= self.models.limit)
+        known = accepted if reject else letters
+        return [self.models.langs[b] if k else "und" for k, b in zip(known, best, strict=True)], np.where(known, score, 0.0), accepted
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
@@ -172,8 +182,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
     serves to fit the steepness alone."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(~held_out(5, 0)).where("lang IS NOT NULL AND text IS NOT NULL")
     ids = mine.where("doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "part"], ["lang"]):  # first within parts, so no task ranks a whole language
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("n") <= sample)
+    for parts in (64, 8, 1):  # first within parts, so no task ranks a whole language
+        window = Window.partitionBy("lang", F.pmod("part", F.lit(parts))).orderBy("h", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(window)).where(F.col("n") <= sample)
     chosen = ids.groupBy("doc_id", "lang").agg(F.min("n").alias("n"))
 
     def each(batch):
@@ -204,18 +215,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
             return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(truth)), truth]).mean())
 
         models.heat = min((float(h) for h in np.geomspace(0.5, 100, 40)), key=loss)
+    if checks:
+        bits, sizes = Scorer(models).totals([t for _, t in checks])
+        if (sizes > 0).any():
+            models.limit = float(np.quantile(bits.min(1)[sizes > 0], ACCEPTED))
     return models
 
 
-def predict(docs: DataFrame, models: Models, reject_below: float = 0.0) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of docs."""
+def predict(docs: DataFrame, models: Models, reject: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and accepted of each row of docs; with reject,
+    what isn't accepted is `und`."""
 
     def each(batch, scorer):
-        langs, scores = scorer.answers(batch.column("text").to_pylist(), reject_below)
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores}
+        langs, scores, accepted = scorer.answers(batch.column("text").to_pylist(), reject)
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores, "accepted": accepted}
 
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(5, 0))
-    return arrow_map(frame, each, "doc_id long, held_out boolean, lang_pred string, score double", start=lambda: Scorer(models))
+    return arrow_map(frame, each, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean", start=lambda: Scorer(models))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
