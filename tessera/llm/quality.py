@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, held_out, id_and_text, table, utf8
+from tessera.llm.common import arrow_map, held_out, id_and_text, table, unused, utf8
 
 TRAIN_ROWS, BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 20_000, 32, 8, 120, 40, 6, 0.1
 THRESHOLD = 0.3
@@ -72,10 +72,15 @@ class Additive:
         for b, t in zip(bins, self.tables, strict=True):
             total += t[b]
         for i, j, t in self.pairs:
-            total += t[bins[i] * COARSE // BINS, bins[j] * COARSE // BINS]
+            total += t[_coarse(bins[i], self.edges[i]), _coarse(bins[j], self.edges[j])]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _coarse(bins: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bins of the pair tables: a feature's own bins if they are few, else joined alike."""
+    return bins * COARSE // max(len(edges) + 1, COARSE)
+
+
 def _split(g: np.ndarray, h: np.ndarray, least: float) -> int:
     """The best cut of a row of bins, 0 if none gains."""
     gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
@@ -128,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
             step = RATE * _tree(np.bincount(bins[k], p - y, size), np.bincount(bins[k], p * (1 - p), size))
             tables[k] += step
             total += step[bins[k]]
-    coarse = [b * COARSE // BINS for b in bins]
+    coarse = [_coarse(b, e) for b, e in zip(bins, edges, strict=True)]
 
     def sums(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         p, at = 1 / (1 + np.exp(-total)), coarse[i] * COARSE + coarse[j]
@@ -157,10 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
     return fit(x, (got["y"].to_numpy(float) >= 0.5).astype(float))
 
 
-def score(docs: DataFrame, model: Additive, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with keep, docs with a score instead."""
+def score(docs: DataFrame, model: Additive, keep: str = "") -> DataFrame:
+    """doc_id, held_out, score, predicted; with keep, docs with a score of that name instead."""
     if keep:
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "`quality score` double"])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{keep}` double"])
         frame = docs
     else:
         schema, frame = "doc_id long, held_out boolean, score double, predicted int", id_and_text(docs).withColumn("held_out", held_out(5, 0))
@@ -168,15 +173,16 @@ def score(docs: DataFrame, model: Additive, keep: bool = False) -> DataFrame:
     def each(batch):
         s = model.score(np.array([text_features(t) for t in utf8(batch.column("text"))]))
         if keep:
-            return {n: batch.column(n) for n in batch.schema.names} | {"quality score": s}
+            return {n: batch.column(n) for n in batch.schema.names} | {keep: s}
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= THRESHOLD).astype(int)}
 
     return arrow_map(frame, each, schema)
 
 
 def keep_good(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the model doesn't reject."""
-    return score(docs, model, keep=True).where(F.col("`quality score`") >= threshold).drop("quality score")
+    """The rows of docs that the model doesn't reject, with all their columns."""
+    name = unused(docs, "quality_score")
+    return score(docs, model, keep=name).where(F.col(f"`{name}`") >= threshold).drop(name)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
