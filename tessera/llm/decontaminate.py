@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spool, table
+from tessera.llm.common import spool, table, unused
 
 GRAM, SPAN = 5, 10
 MOST_BROADCAST = 200_000
@@ -82,17 +82,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = docs.select("key", F.explode(let(words(F.col("text")), lambda ws: F.array_distinct(all_kept(ws)))).alias("kept"))
     found = spool(found.join(_sized(values, n_values), "kept", "left_semi").distinct())
-    by_key = found.groupBy("key").agg(F.collect_set("kept").alias("found"))  # no more values than the text has words
-    again = docs.join(_sized(by_key, found.count()), "key")
+    n_found = found.count()
+    keys = found.select("key").distinct()
 
-    def places(ws: Column, found: Column) -> Column:
+    def all_places(ws: Column) -> Column:
         def of(span: int, values: Column) -> Column:
-            picked = F.filter(F.transform(values, lambda v, i: F.when(F.array_contains(found, v), i + 1)), lambda i: i.isNotNull())
-            return F.transform(picked, lambda i: F.struct(i.alias("start"), F.lit(span).alias("length"), F.concat_ws(" ", F.slice(ws, i, span)).alias("span")))
+            return F.transform(values, lambda v, i: F.struct((i + 1).alias("start"), F.lit(span).alias("length"), v.alias("kept")))
 
         return let(F.size(ws), lambda n: F.concat(of(SPAN, kept(ws, n)), *(of(k, whole(ws, n, k)) for k in short)))
 
-    maybe = again.select("key", F.explode(let(words(F.col("text")), lambda ws: places(ws, F.col("found")))).alias("p")).select("key", "p.*")
+    # Of texts with any such value: where it stands, and then the words there.
+    everywhere = docs.join(_sized(keys, n_found), "key").select("key", F.explode(let(words(F.col("text")), all_places)).alias("p")).select("key", "p.*")
+    picked = everywhere.join(_sized(found, n_found), ["key", "kept"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("at"))  # no more than the text has words
+    cut = lambda ws: F.transform("at", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.concat_ws(" ", F.slice(ws, p["start"], p["length"])).alias("span")))
+    maybe = docs.join(_sized(picked, n_found), "key").select("key", F.explode(let(words(F.col("text")), cut)).alias("p")).select("key", "p.*")
     known = spans.select("span", "length").distinct()
     return spool(maybe.join(_sized(known, known.count()), ["span", "length"], "left_semi").select("key", "start", "length", "span").distinct())
 
@@ -132,10 +135,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item's span occurs, with all their columns."""
-    mine = docs.withColumn("decontaminate key", row_key())
-    found = hits(mine.select(F.col("decontaminate key").alias("key"), F.col("text").cast("string").alias("text")), benchmark)
-    bad = found.select(F.col("key").alias("decontaminate key")).distinct()
-    return mine.join(bad, "decontaminate key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "decontaminate_key")
+    mine = docs.withColumn(name, row_key())
+    found = hits(mine.select(F.col(name).alias("key"), F.col("text").cast("string").alias("text")), benchmark)
+    bad = found.select(F.col("key").alias(name)).distinct()
+    return mine.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
