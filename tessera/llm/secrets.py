@@ -1,25 +1,29 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field.
 
 The field tags each token outside (O), begin (B) or inside (I) a secret. A
-token's features are its own shape, the shapes of the two tokens before and the
-one after, and features of the whole text. Weights are fitted on the driver from
+token's features are its own shape and word, those of the two tokens before and of
+the one after, and features of the whole text. Words are hashed to WORDS buckets. Weights are fitted on the driver from
 windows of a bounded sample (SAMPLE_ROWS documents, SAMPLE_WINDOWS windows),
 labelled by the patterns, with made-up secrets of further formats put in, and
 addresses, numbers and dates that are none.
 Decoding is Viterbi over the stretches that can be part of a secret at all: a
 running sum of the best gain over O shows, exactly, where no tag but O can win.
 
-Defined results: a null or empty text has no secret; each row is judged alone, so
-repeated rows get equal results; null ids pass through; other columns are
+Defined results: a null or empty text has no secret; texts and tokens of any length
+are read whole, in time and memory that grow with them; each row is judged alone, so
+repeated rows get equal results; of field spans, those that touch a base span go; null ids pass through; other columns are
 ignored (find) or kept (redact); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ KINDS = ["assign", "access", "hex", "crf"]
 WORD_HINTS = (b"passw", b"secret", b"token", b"api")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW, ROUNDS = 4000, 900, 100, 80
+SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW, ROUNDS, WORDS = 4000, 900, 100, 80, 32
 TOKEN = re.compile(r"""[^\s"'=:,;()<>]+|["'=:,;()<>]+""")
 KEYWORD = re.compile(r"(?ai:passw|pwd|secret|token|api|key|auth|bearer|credential)")
 HEX_LETTERS = set("abcdef")
@@ -48,6 +52,7 @@ SHAPES = (
     + [f"turns{k}" for k in range(5)]
     + [f"entropy{k}" for k in range(5)]
     + ["digit", "upper", "lower", "mixed", "alpha", "wordlike", "capital", "hex", "caps", "sign", "assign", "quote", "other", "keyword", "symbol", "none", "address", "number", "other script"]
+    + [f"word{k}" for k in range(WORDS)]
 )
 SHAPE = {name: k for k, name in enumerate(SHAPES)}
 FILE = ["bias", "dense=", "digits", "keys", "code"]
@@ -65,8 +70,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((s, e, k) for s, e, k in found) if len(found) < 2 else sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def word(token: str) -> str:
+    """The bucket of a word, in either case."""
+    return f"word{zlib.crc32(token.lower().encode('utf-8', 'replace')) % WORDS}"
+
+
 def shape(token: str) -> list[int]:
-    """Indexes of the token's shape features."""
+    """Indexes of the token's features: its shape, and its word if it is of letters."""
     n = len(token)
     out = ["len%d" % (0 if n < 4 else 1 if n < 8 else 2 if n < 12 else 3 if n < 16 else 4 if n < 24 else 5 if n < 32 else 6 if n < 64 else 7)]
     if not any(c.isalnum() for c in token):
@@ -74,7 +84,7 @@ def shape(token: str) -> list[int]:
         return [SHAPE[x] for x in out]
     digit, upper, lower = any(c.isdigit() for c in token), any(c.isupper() for c in token), any(c.islower() for c in token)
     turns, last = 0, -1
-    for c in token[:128]:
+    for c in token:
         kind = 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
         turns += last >= 0 and kind != last
         last = kind
@@ -83,7 +93,7 @@ def shape(token: str) -> list[int]:
         ("digit", digit), ("upper", upper), ("lower", lower), ("mixed", digit and (upper or lower)), ("alpha", not digit), ("wordlike", not digit and turns < 3),
         ("capital", token[:1].isupper() and lower), ("hex", n > 7 and all(c in "0123456789abcdef" for c in token)), ("caps", upper and not lower),
         ("sign", any(c in "+/_-" for c in token)), ("keyword", bool(KEYWORD.search(token))), ("symbol", not token[-1].isalnum()),
-        ("address", "@" in token or "//" in token or token.startswith("www.")), ("number", digit and not upper and not lower), ("other script", not token.isascii()),
+        ("address", "@" in token or "//" in token or token.startswith("www.")), ("number", digit and not upper and not lower), ("other script", not token.isascii()), (word(token), token.isalpha()),
     ) if on]
     return [SHAPE[x] for x in out]
 
@@ -132,11 +142,11 @@ class Tagger:
         return out
 
     def _row(self, token: str) -> np.ndarray:
-        """Lower-case and capitalised words share a row if all their shapes agree."""
+        """Lower-case and capitalised words share a row if all their features agree."""
         key, n = None, len(token)
         if n < 64 and token.isalpha() and (token.islower() or (token[0].isupper() and token[1:].islower())) and not KEYWORD.search(token):
             letters = set(token)
-            key = (n, len(letters), token[0].islower(), token.isascii(), n > 7 and letters <= HEX_LETTERS)
+            key = (n, len(letters), token[0].islower(), token.isascii(), n > 7 and letters <= HEX_LETTERS, word(token))
             if (hit := self.words.get(key)) is not None:
                 return hit
         row = self.shape_w[shape(token)].sum(0)
@@ -202,7 +212,9 @@ class Tagger:
 def all_spans(text: str, tagger: Tagger) -> tuple[list, list]:
     """The base spans, and these with the field's spans that touch none of them."""
     base = base_spans(text)
-    more = [(s, e, 3) for s, e in tagger.spans(text) if not any(s < e2 and s2 < e for s2, e2, _ in base)]
+    starts, furthest = [s for s, _, _ in base], list(itertools.accumulate((e for _, e, _ in base), max))
+    touches = lambda s, e: (k := bisect.bisect_left(starts, e)) > 0 and furthest[k - 1] > s
+    more = [(s, e, 3) for s, e in tagger.spans(text) if not touches(s, e)]
     return base, sorted(base + more, key=lambda x: (x[0], x[2])) if more else base
 
 
@@ -245,8 +257,9 @@ def made_up(rng: random.Random) -> tuple[str, str]:
     secret = rng.choice([
         lambda: "ghp_" + pick(low + up + num, 36), lambda: "sk_live_" + pick(low + up + num, 24), lambda: "eyJ" + pick(low + up + num, 40) + "." + pick(low + up + num, 43),
         lambda: pick(up + num, 20), lambda: pick(low + up + num + "+/", 40), lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: pick(low + num, 16) + pick(up + num, 4),
+        lambda: pick(low, rng.choice([3, 4, 5])) + rng.choice("-_") + pick(low + up + num, rng.choice([16, 20, 24, 32])),
     ])()
-    lead = rng.choice(["Authorization Bearer ", "key ", "auth = \"", "credential: ", "pwd=", "secret is ", "", "token "])
+    lead = rng.choice(["Authorization Bearer ", "key ", "auth = \"", "credential: ", "pwd=", "secret is ", "token ", *[""] * 5])
     return lead, secret
 
 
