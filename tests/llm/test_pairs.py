@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import components as components_module
 from tessera.llm import decontaminate, ngram_join, suffixes
 from tessera.llm.common import table
 from tessera.llm.components import components
@@ -89,7 +90,9 @@ def test_one_of_each(odd, odd_rows):
     assert kept == sorted([-5, 4, 5, 6, None, 7, 9, 10, 11, 12, 12, 13, 14, 15, 16], key=repr)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("in_one_task", [300_000, 20, 0])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", in_one_task)
     links = [(k, k + 1) for k in range(50)] + [(1000, 1000 + k) for k in range(1, 90)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {k: 0 for k in range(51)} | {1000 + k: 1000 for k in range(90)}
