@@ -370,42 +370,43 @@ def _different(keys: DataFrame) -> DataFrame:
     return spool(keys.join(each.groupBy("k", "u", "v").agg(F.min("key").alias("key")).select("key"), "key"), keys)
 
 
-def _connected(members: DataFrame, group, columns: list[str]) -> DataFrame:
+def _connected(members: DataFrame, group, fetch, columns: list[str]) -> DataFrame:
     """(x, y): links that group() finds, enough to connect in each key of members (key,
-    id, columns) what all its links connect. A key of over BLOCK ids is dealt to
-    blocks, and what these leave apart is compared in three steps."""
+    id) what all its links connect; fetch() adds the columns that group() reads. A key
+    of over BLOCK ids is dealt to blocks, and what these leave apart is compared in
+    three steps."""
     sizes = spool(members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", _block_count("k").alias("blocks")))
     largest = sizes.agg(F.max("blocks")).first()[0] or 0
-    dealt = members.join(sizes, "key").withColumn("block", _block_of("blocks"))
-    links = spool(_by_cell(dealt.withColumn("cell", F.xxhash64("key", "block")), group, columns))
+    dealt = spool(members.join(sizes, "key").withColumn("block", _block_of("blocks")), sizes)
+    linked_in = lambda cells: spool(_by_cell(fetch(cells), group, columns))
+    links = linked_in(dealt.select("id", F.xxhash64("key", "block").alias("cell")))
     if largest < 2:
-        unspool(sizes)
+        unspool(dealt)
         return links
-    big = spool(dealt.where("blocks > 1"))
+    big = spool(dealt.where("blocks > 1"), dealt)
     # One of each block's largest part meets those of the other blocks, block by block.
     named = spool(big.select("key", "block", "id").join(_labels(links), "id", "left").select("key", "block", "id", F.coalesce("root", "id").alias("root")))
     leaders = named.groupBy("key", "block", "root").agg(F.count("*").alias("k"), F.min("id").alias("id")).groupBy("key", "block").agg(F.max_by("id", F.struct("k", "id")).alias("id"))
-    found, done = [links], [sizes, named]
+    found, done = [links], [named]
     while largest > 1:
         counts = leaders.groupBy("key").agg(_block_count(F.count("*")).alias("blocks"))
         leaders = spool(leaders.select("key", "id").join(counts, "key").withColumn("block", _block_of("blocks")))
         largest = leaders.agg(F.max("blocks")).first()[0] or 0
-        cells = big.drop("blocks", "block").join(leaders, ["key", "id"]).withColumn("cell", F.xxhash64("key", "block"))
-        found.append(spool(_by_cell(cells, group, columns)))
+        found.append(linked_in(leaders.select("id", F.xxhash64("key", "block").alias("cell"))))
         done.append(leaders)
         leaders = leaders.groupBy("key", "block").agg(F.min("id").alias("id"))
     # What is still apart from a key's largest part meets all ids of the key.
     labels = _labels(functools.reduce(DataFrame.unionByName, found))
     named = spool(big.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), *done)
     main = named.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    apart = spool(named.join(main, "key").where("root <> main").select("key", "id"))
-    counts = apart.groupBy("key").agg(_block_count(F.count("*")).alias("rest"))
-    mine = big.join(counts, "key").join(apart.select("key", "id", F.lit(True).alias("apart")), ["key", "id"], "left")
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_rest = mine.where("apart").withColumn("i", _block_of("rest")).withColumn("j", F.explode(each("blocks")))
-    as_all = mine.withColumn("j", F.col("block")).withColumn("i", F.explode(each("rest"))).where(F.col("apart").isNull() | (F.col("i") != _block_of("rest")))
-    cells = as_rest.unionByName(as_all).withColumn("cell", F.xxhash64(F.lit(2), "key", "i", "j"))
-    found.append(spool(_by_cell(cells, group, columns), named))
+    apart = spool(named.join(main, "key").where("root <> main").select("key", "id"), named)
+    if not apart.isEmpty():
+        counts = apart.groupBy("key").agg(_block_count(F.count("*")).alias("rest"))
+        mine = big.join(counts, "key").join(apart.select("key", "id", F.lit(True).alias("apart")), ["key", "id"], "left")
+        each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_rest = mine.where("apart").withColumn("i", _block_of("rest")).withColumn("j", F.explode(each("blocks")))
+        as_all = mine.withColumn("j", F.col("block")).withColumn("i", F.explode(each("rest"))).where(F.col("apart").isNull() | (F.col("i") != _block_of("rest")))
+        found.append(linked_in(as_rest.unionByName(as_all).select("id", F.xxhash64(F.lit(2), "key", "i", "j").alias("cell"))))
     unspool(apart, big)
     return functools.reduce(DataFrame.unionByName, found)
 
@@ -468,9 +469,12 @@ def _near(held: list) -> list:
 
 
 def _similar(held: list) -> list:
-    """Verified links among the sets of a cell."""
-    known = dict(zip(_column(held, "id").to_pylist(), _column(held, "shingles").to_pylist(), strict=True))
-    ids, sets = list(known), [np.frombuffer(x, np.uint64) for x in known.values()]
+    """Verified links among the texts of a cell; equal rows give an id more than once."""
+    known = {}
+    for i, text in zip(_column(held, "id").to_pylist(), utf8(_column(held, "text")), strict=True):
+        if i not in known and set_id(s := shingles(text)) == i:
+            known[i] = s
+    ids, sets = list(known), list(known.values())
     if len(ids) < 2:
         return []
 
@@ -512,22 +516,6 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
-def _with_shingles(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (key, id, row) with each class's shingles, packed."""
-
-    def each(batch):
-        out = {"key": [], "id": [], "shingles": []}
-        for text, key, known in zip(utf8(batch.column("text")), batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
-            s = shingles(text)
-            if set_id(s) == known:
-                for name, x in (("key", key), ("id", known), ("shingles", s.tobytes())):
-                    out[name].append(x)
-        return out
-
-    # A row number that stands for several equal texts gives an id more than once.
-    return arrow_map(_texts(rows, wanted).select("key", "id", "text"), each, "key long, id long, shingles binary")
-
-
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, the classes (id, row, digest) and (id, root) of each class."""
     rows = _rows(docs)
@@ -537,11 +525,10 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = spool(classes.select("id", "least.row", "least.digest", "n", "point", "plain"))
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     keys = _different(_keys(rows, classes, total, common))
-    near = _connected(keys.join(classes.select("id", "n", "point"), "id"), _near, ["id", "n", "point"])
+    near = _connected(keys, _near, lambda cells: cells.join(classes.select("id", "n", "point"), "id"), ["id", "n", "point"])
     groups = spool(components(near).select(F.col("node").alias("id"), F.col("root").alias("key")), keys)
-    members = spool(_with_shingles(rows, groups.join(classes.select("id", "row"), "id").select("key", "id", "row")).dropDuplicates(["key", "id"]), groups)
-    links = _connected(members, _similar, ["id", "shingles"])
-    roots = spool(components(links).select(F.col("node").alias("id"), "root"), members)
+    links = _connected(groups, _similar, lambda cells: _texts(rows, cells.join(classes.select("id", "row"), "id")), ["id", "text"])
+    roots = spool(components(links).select(F.col("node").alias("id"), "root"), groups)
     return sets, classes, classes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
