@@ -7,8 +7,8 @@ like mass, and
     P(token | history) = P(class | history) * P(slot | class, history) * P(token | slot).
 
 Both softmaxes sum weight rows of hashed features of the history: the slot before (an
-n-gram), those two and three before (skips), and the two before together; within a
-class the features are hashed with the class. P(token | slot) is 1 for a slot of one
+n-gram), the one before that (a skip), and the two together; within a class the
+features are hashed with the class. P(token | slot) is 1 for a slot of one
 token, and else a discounted share of the corpus counts, whose rest is for all tokens
 never seen; so the chances of all tokens of any history sum to one.
 
@@ -38,9 +38,9 @@ from tessera.llm.common import arrow_map, held_out, lower_ascii, mix, prefix_sum
 CLASSES, MEMBERS, TAILS = 32, 32, 256
 SLOTS, HEADS = CLASSES * MEMBERS, CLASSES * MEMBERS - TAILS
 ROUNDS, BATCH, RATE = 2, 32768, 0.25
-#: Weight rows: three features of single slots (and of the start), then hashed pairs; in classes, hashed all.
+#: Weight rows: two features of single slots (and of the start), then hashed pairs; in classes, hashed all.
 PAIRS, INNER = 4096, 8192
-OUTER_ROWS, INNER_ROWS = (SLOTS + 1, SLOTS + 1, SLOTS + 1, PAIRS), (INNER, INNER)
+OUTER_ROWS, INNER_ROWS = (SLOTS + 1, SLOTS + 1, PAIRS), (INNER, INNER)
 BLOCK_BYTES, COUNT_BYTES, PIECE = 12 << 20, 4 << 20, 1 << 20
 END, START = np.uint64(1), SLOTS
 CHUNKS = 32
@@ -111,8 +111,7 @@ def features(slots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     at = np.flatnonzero(slots != START)
     one = slots[at - 1]
     two = np.where(one == START, START, slots[np.maximum(at - 2, 0)])
-    three = np.where(two == START, START, slots[np.maximum(at - 3, 0)])
-    return at, [one.astype(np.uint16), two.astype(np.uint16), three.astype(np.uint16), _hashed(one, two, PAIRS)]
+    return at, [one.astype(np.uint16), two.astype(np.uint16), _hashed(one, two, PAIRS)]
 
 
 def _hashed(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -183,9 +182,10 @@ class Learner:
             columns = np.ascontiguousarray(error.T).astype(float)
             for ids, w, n in zip(r, weights, seen, strict=False):
                 ids = ids.astype(np.intp)
-                g = np.stack([np.bincount(ids, x, len(w)) for x in columns], 1)
+                g = np.stack([np.bincount(ids, x, len(w)) for x in columns], 1).astype(np.float32)
                 n += np.einsum("ij,ij->i", g, g) / g.shape[1]
-                w -= g * (RATE / np.sqrt(n))[:, None]
+                g *= (RATE / np.sqrt(n))[:, None]
+                w -= g
         self.tokens += len(slots)
 
 
