@@ -58,17 +58,37 @@ def relationships(facts: Facts, symbol: str, direction: str = "out", limit: int
 def excerpts(places: DataFrame, contents: DataFrame, lines: int = 2, most_bytes: int = 64 << 10) -> DataFrame:
     """places (pos, document_id, content_hash, first, last: lines from 0) with the text
     around each and a status; contents is (document_id, text). Texts that aren't what
-    was indexed aren't quoted, and the byte budget is spent in order of pos."""
+    was indexed aren't quoted. The byte budget is spent in order of pos by what is quoted:
+    a place that no longer fits with the lines around it is quoted alone, and one that
+    doesn't fit even so costs nothing."""
     rows = places.join(contents, "document_id", "left")
     parts = F.split("text", "\n")
-    begin = F.greatest(F.lit(0), F.col("first") - lines)
-    quoted = F.array_join(F.slice(parts, begin + 1, F.greatest(F.lit(1), F.col("last") + lines - begin + 1)), "\n")
-    status = F.when(F.col("text").isNull(), "missing").when(F.sha2("text", 256) != F.col("content_hash"), "changed").when(F.col("first") >= F.size(parts), "out of range").otherwise("current")
-    rows = rows.select("pos", "document_id", status.alias("status"), begin.alias("start"), quoted.alias("quoted"))
-    rows = rows.withColumn("quoted", F.when(F.col("status") == "current", F.col("quoted")))
-    spent = F.sum(F.coalesce(F.octet_length("quoted"), F.lit(0))).over(Window.orderBy("pos"))  # as many rows as places
-    over = spent > most_bytes
-    return rows.withColumn("over", over).withColumn("status", F.when(F.col("over") & (F.col("status") == "current"), "over budget").otherwise(F.col("status"))).withColumn("quoted", F.when(~F.col("over"), F.col("quoted"))).drop("over")
+    status = F.when(F.col("text").isNull(), "missing").when(F.sha2("text", 256) != F.col("content_hash"), "changed")
+    status = status.when((F.col("first") < 0) | (F.col("last") < F.col("first")) | (F.col("first") >= F.size(parts)), "out of range").otherwise("current")
+
+    def cut(around: int) -> Column:
+        begin, end = F.greatest(F.lit(0), F.col("first") - around), F.least(F.size(parts) - 1, F.col("last") + around)
+        return F.when(F.col("status") == "current", F.struct(begin.alias("start"), F.slice(parts, begin + 1, end - begin + 1).alias("lines")))
+
+    def cost(c: Column) -> Column:
+        return F.aggregate(c["lines"], F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+
+    rows = rows.withColumn("status", status).withColumns({"wide": cut(lines), "bare": cut(0)})
+    rows = rows.withColumns({"wide_cost": cost(F.col("wide")), "bare_cost": cost(F.col("bare"))})
+    # One row of as many entries as there are places: what each may spend follows from those before it.
+    entries = rows.where("status = 'current'").agg(F.array_sort(F.collect_list(F.struct("pos", "wide_cost", "bare_cost"))).alias("entries"))
+    none = F.array().cast("array<struct<pos:bigint,choice:int>>")
+
+    def spend(a: Column, x: Column) -> Column:
+        choice = F.when(a["used"] + x["wide_cost"] <= most_bytes, 2).when(a["used"] + x["bare_cost"] <= most_bytes, 1).otherwise(0)
+        used = a["used"] + F.when(choice == 2, x["wide_cost"]).when(choice == 1, x["bare_cost"]).otherwise(0)
+        return F.struct(used.alias("used"), F.concat(a["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), choice.alias("choice")))).alias("out"))
+
+    chosen = entries.select(F.explode(F.aggregate("entries", F.struct(F.lit(0).cast("long").alias("used"), none.alias("out")), spend, lambda a: a["out"])).alias("c")).select("c.*")
+    rows = rows.join(chosen, "pos", "left")
+    picked = F.when(F.col("choice") == 2, F.col("wide")).when(F.col("choice") == 1, F.col("bare"))
+    status = F.when((F.col("status") == "current") & (F.col("choice") == 0), "over budget").otherwise(F.col("status"))
+    return rows.select("pos", "document_id", status.alias("status"), picked["start"].alias("start"), F.array_join(picked["lines"], "\n").alias("quoted"))
 
 
 def dossier(facts: Facts, symbol: str, limit: int = 16) -> dict[str, DataFrame]:

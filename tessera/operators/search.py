@@ -121,27 +121,52 @@ def resolve_unique(symbols: DataFrame, value: str, index: DataFrame | None = Non
     return found[0]
 
 
+def phrase_terms(symbols: DataFrame, phrase: str) -> list[str]:
+    """The search terms of a phrase, as they are taken from texts."""
+    return symbols.sparkSession.range(1).select(T.search_terms(F.lit(phrase))).first()[0]
+
+
 def workspace_find(symbols: DataFrame, phrase: str, limit: int = 50, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Symbols of workspace kinds that match every term of a phrase; score is the
-    sum of their places in the terms' own results, which count all kinds."""
+    sum of their places in the terms' own results, which count all kinds. A phrase of
+    one word or one term is searched as it is."""
     bounded(limit)
-    kinds = kinds or WORKSPACE_KINDS
-    terms = sorted(set(phrase.lower().split()))
-    if len(terms) <= 1:
-        found = find_symbols(symbols, phrase, min(MOST, 16 * limit), index).where(F.col("kind").isin(kinds))
+    kinds, candidates = kinds or WORKSPACE_KINDS, min(MOST, max(1024, 16 * limit))
+    terms = phrase_terms(symbols, phrase)
+    if len(phrase.split()) <= 1 or len(terms) <= 1:
+        found = find_symbols(symbols, phrase, candidates, index).where(F.col("kind").isin(kinds))
         return found.orderBy("pos").limit(limit).withColumn("score", F.col("pos") - 1).withColumn("place", F.row_number().over(Window.orderBy("pos")))
+    index = index if index is not None else postings(symbols)
     each = None
     for term in terms:
-        hits = find_symbols(symbols, term, min(MOST, max(1024, 16 * limit)), index).select("id", "pos", "kind", F.lit(term).alias("term"))
+        hits = find_symbols(symbols, term, candidates, index).select("id", "pos", "kind", F.lit(term).alias("term"))
         each = hits if each is None else each.unionByName(hits)
     both = each.where(F.col("kind").isin(kinds)).groupBy("id").agg(F.count_distinct("term").alias("n"), F.sum(F.col("pos") - 1).alias("score")).where(F.col("n") == len(terms))
     order = ["score", "stable_name", "id"]
     return symbols.join(both.select("id", "score"), "id").orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def resolve_workspace(symbols: DataFrame, value: str, index: DataFrame | None = None) -> Row:
+    """The workspace entity of an id, else of one equal stable name, else the only match."""
+    if hit := symbols.where((F.col("id") == value) & F.col("kind").isin(WORKSPACE_KINDS)).head(1):
+        return hit[0]
+    found = workspace_find(symbols, value, 64, index=index).orderBy("place").collect()
+    exact = [r for r in found if r["stable_name"] == value]
+    if len(exact) == 1:
+        return exact[0]
+    if not found:
+        raise NotFound(value)
+    if len(exact) > 1 or len(found) > 1:
+        raise Ambiguous(_choices(value, exact or found))
+    return found[0]
+
+
 # Exploration. Words without meaning for a search, and words that name a scope.
-STOP = "a an and are as at alone be by can cannot describe direct does evaluate explain feed from how identify in initial into is it limitations of on or should that the this through to tool using what when where which why with".split()
-SCOPE = "backend code data domain flow function gui menu method persistence public request state system tui".split()
+STOP = [
+    "a", "an", "and", "are", "as", "at", "alone", "be", "by", "can", "cannot", "describe", "direct", "does", "evaluate", "explain", "feed", "from", "how", "identify", "in", "initial", "into", "is", "it",
+    "limitations", "of", "on", "or", "should", "that", "the", "this", "through", "to", "tool", "using", "what", "when", "where", "which", "why", "with",
+]
+SCOPE = ["backend", "code", "data", "domain", "flow", "function", "gui", "menu", "method", "persistence", "public", "request", "state", "system", "tui"]
 # Scores by kind, by number of matches, and of scope words.
 KIND_SCORE = {"function": 100, "method": 100, "type": 40, "interface": 40, "test": 40, "section": 40, "code-block": 20, "field": -10, "constant": -10, "route": -10, "variable": -20, "parameter": -20, "asset": -30, "directory": -30, "url": -30, "package": -10, "file": -10, "document": -10}
 RARITY = [(4, 30), (16, 18), (64, 10), (256, 4)]

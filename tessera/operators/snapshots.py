@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.schema import OPEN_ENDPOINT, Facts
 
 # Kinds of symbol that stand for a changed file.
@@ -48,14 +50,34 @@ def transitions(before: Facts, after: Facts) -> DataFrame:
     return delta(before.symbols, after.symbols).select("id", F.col("change").alias("status"))
 
 
+def _touched(before: Facts, after: Facts, family: str, change: str) -> DataFrame:
+    return delta(before.families()[family], after.families()[family]).where(change).select("id")
+
+
+def _all_ids(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).where(F.trim("id") != "").distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("from", "to")).alias("id"))
+
+
 def current_roots(before: Facts, after: Facts) -> DataFrame:
-    """Symbols of the later snapshot that a difference touches: changed or added
-    ones, owners of changed documents, and ends of changed edges."""
-    symbols = delta(before.symbols, after.symbols).where("change <> 'removed'").select("id")
-    documents = after.symbols.join(delta(before.documents, after.documents).where("change <> 'removed'").select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
-    edges = delta(before.edges, after.edges).join(after.edges.select("id", "from"), "id").select(F.col("from").alias("id"))
-    gone = delta(before.edges, after.edges).where("change = 'removed'").join(before.edges.select("id", "from"), "id").select(F.col("from").alias("id"))
-    return reduce(DataFrame.unionByName, [symbols, documents, edges, gone]).distinct().join(after.symbols.select("id"), "id", "left_semi")
+    """(id) of what the later snapshot's new and changed facts touch: symbols, those of
+    occurrences, both ends of edges, and all symbols of such units and documents. An
+    end needn't have a symbol."""
+    new = lambda family: _touched(before, after, family, "change <> 'removed'")
+    in_units = after.symbols.join(new("units").withColumnRenamed("id", "unit_id"), "unit_id", "left_semi")
+    in_documents = after.symbols.join(new("documents").withColumnRenamed("id", "document_id"), "document_id", "left_semi")
+    occurring = after.occurrences.join(new("occurrences"), "id", "left_semi").select(F.col("symbol_id").alias("id"))
+    return _all_ids([new("symbols"), occurring, _ends(after.edges.join(new("edges"), "id", "left_semi")), in_units.select("id"), in_documents.select("id")])
+
+
+def removed_roots(before: Facts, after: Facts) -> DataFrame:
+    """(id) of what removed facts touched: symbols, those of occurrences, both ends of edges."""
+    gone = lambda family: _touched(before, after, family, "change = 'removed'")
+    occurring = before.occurrences.join(gone("occurrences"), "id", "left_semi").select(F.col("symbol_id").alias("id"))
+    return _all_ids([gone("symbols"), occurring, _ends(before.edges.join(gone("edges"), "id", "left_semi"))])
 
 
 def removed_units(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -69,23 +91,56 @@ def change_name(letter: Column) -> Column:
     return out
 
 
-def impact_roots(facts: Facts, files: list[str], packages: list[str] = ()) -> DataFrame:
-    """(id) of symbols that stand for files and packages, and of all in a package's unit."""
-    paths = facts.documents.where(F.col("path").isin(list(files))).select(F.col("id").alias("document_id"))
+def safe_path(value: str) -> str:
+    """A path inside a repository, cleaned; any other raises ValueError."""
+    path = posixpath.normpath(value) if value else ""
+    if not value or value.startswith("/") or path in (".", "..") or path.startswith("../"):
+        raise ValueError(f"not a path inside the repository: {value!r}")
+    return path
+
+
+def _names(packages: list[str]) -> list[str]:
+    names = [p.strip() for p in packages]
+    if "" in names:
+        raise ValueError("a package name is empty")
+    return names
+
+
+def impact_roots(facts: Facts, files: list[str], packages: list[str] = (), required: bool = True) -> DataFrame:
+    """(id) of symbols that stand for files and packages, and of all in a package's unit;
+    paths are compared clean. LookupError if nothing matches, unless not required."""
+    wanted, names = [safe_path(f) for f in files], _names(packages)
+    paths = facts.documents.where(T.clean_path(F.col("path")).isin(wanted)).select(F.col("id").alias("document_id"))
     inside = facts.symbols.join(paths, "document_id", "left_semi").where(F.col("kind").isin(ROOT_KINDS)).select("id")
-    named = facts.symbols.where(F.col("stable_name").isin(list(files)) & F.col("kind").isin(PATH_KINDS)).select("id")
-    package = facts.symbols.where((F.col("stable_name").isin(list(packages)) | F.col("display_name").isin(list(packages))) & (F.col("kind") == "package"))
+    named = facts.symbols.where(F.col("kind").isin(PATH_KINDS) & T.clean_path(F.col("stable_name")).isin(wanted)).select("id")
+    package = facts.symbols.where((F.col("kind") == "package") & (F.col("stable_name").isin(names) | F.col("display_name").isin(names)))
     members = facts.symbols.join(package.select("unit_id").distinct(), "unit_id", "left_semi").select("id")
-    return reduce(DataFrame.unionByName, [inside, named, package.select("id"), members]).distinct()
+    roots = _all_ids([inside, named, package.select("id"), members])
+    if required and roots.isEmpty():
+        raise LookupError(f"nothing stands for {[*wanted, *names]}")
+    return roots
 
 
 def missing_roots(facts: Facts, files: list[str], packages: list[str] = ()) -> DataFrame:
     """(missing): `file:` paths and `package:` names that nothing stands for."""
     spark, s = facts.documents.sparkSession, facts.symbols
-    paths = facts.documents.select("path").unionByName(s.where(F.col("kind").isin(PATH_KINDS)).select(F.col("stable_name").alias("path")))
+    paths = facts.documents.select(T.clean_path(F.col("path")).alias("path")).unionByName(s.where(F.col("kind").isin(PATH_KINDS)).select(T.clean_path(F.col("stable_name")).alias("path")))
     names = s.where("kind = 'package'").select(F.explode(F.array("stable_name", "display_name")).alias("name"))
-    lost = spark.createDataFrame([(f,) for f in files], "path string").join(paths, "path", "left_anti").select(F.concat(F.lit("file:"), "path").alias("missing"))
-    return lost.unionByName(spark.createDataFrame([(p,) for p in packages], "name string").join(names, "name", "left_anti").select(F.concat(F.lit("package:"), "name").alias("missing"))).distinct()
+    lost = spark.createDataFrame([(safe_path(f),) for f in files], "path string").join(paths, "path", "left_anti").select(F.concat(F.lit("file:"), "path").alias("missing"))
+    return lost.unionByName(spark.createDataFrame([(p,) for p in _names(packages)], "name string").join(names, "name", "left_anti").select(F.concat(F.lit("package:"), "name").alias("missing"))).distinct()
+
+
+def test_evidence(facts: Facts, nodes: DataFrame) -> DataFrame:
+    """(id, evidence, reason, edge) of tests among nodes (id): a declared edge goes
+    before the symbol's kind, and that before the naming convention."""
+    mine = facts.symbols.join(nodes.select("id").distinct(), "id", "left_semi")
+    declared = facts.edges.where("kind = 'tests'").groupBy(F.col("from").alias("id")).agg(F.min(F.struct("from", "kind", "to", "evidence", F.col("id").alias("edge"))).alias("e"))
+    rows = mine.join(declared, "id", "left").join(facts.documents.select(F.col("id").alias("document_id"), "path"), "document_id", "left")
+    named = F.col("path").endswith("_test.go") & F.col("display_name").rlike("^(Test|Benchmark|Fuzz)")
+    # The reasons.
+    reason = F.when(F.col("e").isNotNull(), "explicit tests relationship").when(F.col("kind") == "test", "provider-classified test symbol").when(named, "Go test declaration naming convention")
+    evidence = F.when(F.col("e").isNotNull(), F.col("e.evidence")).when(F.col("kind") == "test", F.col("evidence")).otherwise("syntactic")
+    return rows.select("id", evidence.alias("evidence"), reason.alias("reason"), F.coalesce("e.edge", F.lit("")).alias("edge")).where("reason IS NOT NULL")
 
 
 def affected_tests(facts: Facts, nodes: DataFrame) -> DataFrame:

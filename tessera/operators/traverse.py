@@ -41,7 +41,31 @@ class Walk:
     truncated: bool
 
 
-def of_kinds(edges: DataFrame, kinds: list[str] | None) -> DataFrame:
+@dataclass(frozen=True)
+class Indexed:
+    """The same edges twice, sorted by either end; a walk reads what its direction needs."""
+
+    out: DataFrame
+    into: DataFrame
+
+    def where(self, condition) -> Indexed:
+        return Indexed(self.out.where(condition), self.into.where(condition))
+
+    @property
+    def sparkSession(self):  # as a DataFrame has it
+        return self.out.sparkSession
+
+
+MOST_IN_FILTER = 1000
+
+
+def _near(edges: DataFrame | Indexed, way: str, nodes: list[str]) -> DataFrame:
+    """Edges that may leave the nodes in the direction; a few nodes are a filter of the scan."""
+    source = edges if isinstance(edges, DataFrame) else edges.out if way == "out" else edges.into
+    return source.where(F.col("from" if way == "out" else "to").isin(nodes)) if len(nodes) <= MOST_IN_FILTER else source
+
+
+def of_kinds(edges: DataFrame | Indexed, kinds: list[str] | None) -> DataFrame | Indexed:
     if unknown := set(kinds or ()) - set(EDGE_KINDS):
         raise ValueError(f"unknown edge kinds {sorted(unknown)}")
     return edges.where(F.col("kind").isin(kinds)) if kinds else edges
@@ -52,12 +76,12 @@ def adjacent(edges: DataFrame, node: str, direction: str = "out", kinds: list[st
     order of edges, as `pos`. Kinds rank by code, or by_text as strings."""
     near, far = ("from", "to") if direction == "out" else ("to", "from")
     rank = F.col("kind") if by_text else kind_code(F.col("kind"))
-    picked = of_kinds(edges, kinds).where(F.col(near) == node).orderBy(rank, far, "id").limit(limit)
+    picked = _near(of_kinds(edges, kinds), direction, [node]).orderBy(rank, far, "id").limit(limit)
     return picked.withColumn("pos", F.row_number().over(Window.orderBy(*COMPARE)))  # limit rows
 
 
 def is_cut(edges: DataFrame, node: str, direction: str, kinds: list[str] | None, limit: int) -> bool:
-    return of_kinds(edges, kinds).where(F.col("from" if direction == "out" else "to") == node).limit(limit + 1).count() > limit
+    return _near(of_kinds(edges, kinds), direction, [node]).limit(limit + 1).count() > limit
 
 
 def callers(edges: DataFrame, node: str, limit: int = 50) -> DataFrame:
@@ -77,7 +101,7 @@ def references(occurrences: DataFrame, symbol: str, limit: int = 50, roles: tupl
 
 def dependencies(edges: DataFrame, node: str, limit: int = 50) -> DataFrame:
     """One edge for each target of depends-on or imports; depends-on goes first."""
-    mine = edges.where(F.col("from") == node).where(F.col("kind").isin("depends-on", "imports"))
+    mine = _near(edges, "out", [node]).where(F.col("kind").isin("depends-on", "imports"))
     one = mine.withColumn("k", F.row_number().over(Window.partitionBy("from", "to").orderBy("kind", "evidence", "id"))).where("k = 1").drop("k")
     return one.orderBy("to", "id").limit(limit)
 
@@ -90,7 +114,7 @@ def _level(edges: DataFrame, frontier: list[tuple[str, str]], room: int) -> pd.D
     for way, near, far in (("out", "from", "to"), ("in", "to", "from")):
         if any(d == way for _, d in frontier):
             mine = asked.where(F.col("way") == way)
-            parts.append(edges.join(mine, F.col(near) == F.col("node")).select("at", "way", F.col(far).alias("other"), *COMPARE, kind_code(F.col("kind")).alias("code")))
+            parts.append(_near(edges, way, [n for n, d in frontier if d == way]).join(mine, F.col(near) == F.col("node")).select("at", "way", F.col(far).alias("other"), *COMPARE, kind_code(F.col("kind")).alias("code")))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return both.orderBy("at", "code", "other", "id").limit(room + 1).toPandas()
 
@@ -223,7 +247,8 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "in", max_dep
 
 def outline(edges: DataFrame, symbols: DataFrame, root: str, bounds: Bounds = Bounds()) -> Walk:
     """What an entity contains, level by level; only targets with a symbol count."""
-    known = of_kinds(edges, ["contains"]).join(symbols.select(F.col("id").alias("to")), "to", "left_semi")
+    contained = of_kinds(edges, ["contains"])
+    known = (contained if isinstance(contained, DataFrame) else contained.out).join(symbols.select(F.col("id").alias("to")), "to", "left_semi")
     depth_of, kept, truncated = _walk(known, [root], ["out"], bounds, probe=True)
     rows = _together(kept).drop_duplicates("id")
     return _result(edges.sparkSession, [(d, n) for n, d in depth_of.items()], rows, truncated)
@@ -240,10 +265,38 @@ def content_links(edges: DataFrame, nodes: DataFrame, limit: int | None = 50) ->
 
 
 def backlinks(edges: DataFrame, nodes: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Content edges into nodes (id), or into an alias that resolves to one, up to a limit, if any."""
+    """Content edges into nodes (id, pos if any), and links and embeds of an alias that
+    resolves to one; with a limit, the first of them as they are read: node by node,
+    an alias's own right after the edge that names it."""
     from tessera.schema import CONTENT_KINDS
 
-    ids = nodes.select(F.col("id").alias("to"))
-    alias = edges.where("kind = 'resolves-to'").join(ids, "to", "left_semi").select(F.col("from").alias("to"))
-    found = of_kinds(edges, CONTENT_KINDS).join(ids.unionByName(alias).distinct(), "to", "left_semi").orderBy(*COMPARE)
-    return found if limit is None else found.limit(limit)
+    wanted = nodes.select(F.col("id").alias("to"), (F.col("pos") if "pos" in nodes.columns else F.lit(0)).alias("at"))
+    place = lambda: [kind_code(F.col("kind")), F.col("from"), F.col("id")]
+    incoming = of_kinds(edges, CONTENT_KINDS).join(wanted, "to").withColumn("read", F.struct("at", *place(), F.lit(0).alias("then"), F.lit(0).alias("k"), F.lit("").alias("f"), F.lit("").alias("i")).cast(_READ))
+    names = incoming.where("kind = 'resolves-to'").select(F.col("from").alias("to"), "read")
+    through = of_kinds(edges, ["links-to", "embeds"]).join(names, "to")
+    through = through.withColumn("read", F.struct("read.at", "read.kind", "read.source", "read.edge", F.lit(1).alias("then"), *place()).cast(_READ))
+    both = incoming.select(*edges.columns, "read").unionByName(through.select(*edges.columns, "read"))
+    if limit is None:
+        return both.drop("read").dropDuplicates(["id"]).orderBy(*COMPARE)
+    first = both.groupBy("id").agg(F.min_by(F.struct(*edges.columns), "read").alias("e"), F.min("read").alias("read"))
+    return first.orderBy("read").limit(limit).select("e.*").orderBy(*COMPARE)
+
+
+_READ = "struct<at:int,kind:int,source:string,edge:string,then:int,k:int,f:string,i:string>"
+
+
+def filtered_view(edges: DataFrame, focus: str, kinds: list[str] = (), providers: list[str] = (), evidence: list[str] = (), direction: str = "both") -> DataFrame:
+    """Of a drawn graph's edges, those of the kinds, providers and evidence asked for (none:
+    any) whose ends the focus still reaches along the direction."""
+    kept = of_kinds(edges, list(kinds))
+    for name, values in (("provider", providers), ("evidence", evidence)):
+        kept = kept.where(F.col(name).isin(*values)) if values else kept
+    ways = {"outgoing": ["out"], "incoming": ["in"], "both": ["out", "in"]}.get(direction)
+    if ways is None:
+        raise ValueError("a direction is outgoing, incoming or both")
+    near = {"out": ("from", "to"), "in": ("to", "from")}
+    steps = [kept.select(F.col(near[w][0]).alias("from"), F.col(near[w][1]).alias("to")) for w in ways]
+    steps = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+    seen = reachable(steps, edges.sparkSession.createDataFrame([(focus,)], "id string"), "out", 1 << 20).select("id")
+    return kept.join(seen.withColumnRenamed("id", "from"), "from", "left_semi").join(seen.withColumnRenamed("id", "to"), "to", "left_semi").select(*edges.columns)

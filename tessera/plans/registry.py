@@ -14,17 +14,25 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import federate, policy, render, search, snapshots, traverse
 from tessera.schema import EDGE_KINDS, Facts, conform, kind_code
-from tessera.sources import project
+from tessera.sources import projected
 
 COMPARE = traverse.COMPARE
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
-    return project.symbols(spark, d)
+    return projected.table(spark, d, "symbols")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return project.edges(spark, d)
+    return projected.table(spark, d, "edges")
+
+
+def _both_ways(spark: SparkSession, d: str) -> traverse.Indexed:
+    return projected.edges(spark, d)
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return projected.table(spark, d, "postings")
 
 
 def s2_symbol(spark, d):
@@ -32,7 +40,7 @@ def s2_symbol(spark, d):
 
 
 def s2_document(spark, d):
-    return project.documents(spark, d).where(F.col("id") == "orders:1").select("id", "path", "content_hash").limit(1)
+    return projected.table(spark, d, "documents").where(F.col("id") == "orders:1").select("id", "path", "content_hash").limit(1)
 
 
 def s3_symbols(spark, d):
@@ -48,7 +56,7 @@ def s7_inventory(spark, d):
     """Directories of all document paths, with the paths directly in each."""
     parts = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return project.documents(spark, d).select(F.explode(up).alias("directory")).groupBy("directory").agg(F.count("*").alias("paths"))
+    return projected.table(spark, d, "documents").select(F.explode(up).alias("directory")).groupBy("directory").agg(F.count("*").alias("paths"))
 
 
 def f_adjacency_kinds(spark, d):
@@ -60,19 +68,19 @@ def f3_prefix(spark, d):
 
 
 def f6_glob(spark, d):
-    paths = project.documents(spark, d)
+    paths = projected.table(spark, d, "documents")
     return paths.where(T.matches_any(F.col("path"), ["docs/1?.txt", "pages/**", "orders/[1-3]*"])).select("id", "path")
 
 
 def f10_tests(spark, d):
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     declared = facts.edges.where("kind = 'links-to'").withColumn("kind", F.lit("tests"))
     facts = Facts(facts.units, facts.documents, facts.symbols, facts.occurrences, declared)
     return snapshots.affected_tests(facts, facts.symbols.select("id")).select("id", "reason")
 
 
 def q1_find_symbols(spark, d, query="customer#00000001", limit=50):
-    return search.find_symbols(_symbols(spark, d), query, limit).select("pos", "rank", "id", "normalized_name")
+    return search.find_symbols(_symbols(spark, d), query, limit, _postings(spark, d)).select("pos", "rank", "id", "normalized_name")
 
 
 def q1_find_by_term(spark, d):
@@ -118,40 +126,40 @@ def postings(spark, d):
 
 
 def postings_all(spark, d):
-    return search.postings(_symbols(spark, d)).groupBy("token").agg(F.count("*").alias("n"))
+    return _postings(spark, d).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def g1_edges_from(spark, d):
-    return traverse.adjacent(_edges(spark, d), "order:7", "out", None, 3).select("pos", "id", "from", "to", "kind")
+    return traverse.adjacent(_both_ways(spark, d), "order:7", "out", None, 3).select("pos", "id", "from", "to", "kind")
 
 
 def g1_edges_to(spark, d):
-    return traverse.adjacent(_edges(spark, d), "part:5", "in", ["references", "depends-on"], 20).select("pos", "id", "from", "to", "kind")
+    return traverse.adjacent(_both_ways(spark, d), "part:5", "in", ["references", "depends-on"], 20).select("pos", "id", "from", "to", "kind")
 
 
 def g2_callers(spark, d):
-    return traverse.callers(_edges(spark, d), "event:500").select("id", "from", "to")
+    return traverse.callers(_both_ways(spark, d), "event:500").select("id", "from", "to")
 
 
 def g2_callees(spark, d):
-    return traverse.callees(_edges(spark, d), "event:500").select("id", "from", "to")
+    return traverse.callees(_both_ways(spark, d), "event:500").select("id", "from", "to")
 
 
 def g3_references(spark, d):
-    return traverse.references(project.occurrences(spark, d), "part:5", 25).select("id", "document_id", "role")
+    return traverse.references(projected.table(spark, d, "occurrences"), "part:5", 25).select("id", "document_id", "role")
 
 
 def g4_dependencies(spark, d):
-    return traverse.dependencies(_edges(spark, d), "part:5", 50).select("id", "to", "kind")
+    return traverse.dependencies(_both_ways(spark, d), "part:5", 50).select("id", "to", "kind")
 
 
 def g5_path(spark, d):
-    walk = traverse.path(_edges(spark, d), "region:1", "supplier:7", ["contains", "depends-on", "imports"], traverse.Bounds(20))
+    walk = traverse.path(_both_ways(spark, d), "region:1", "supplier:7", ["contains", "depends-on", "imports"], traverse.Bounds(20))
     return walk.nodes.agg(F.max("depth").alias("length"), F.min_by("id", "depth").alias("start"), F.max_by("id", "depth").alias("end"))
 
 
 def _impact(spark, d, root="supplier:1"):
-    walk = traverse.impact(_edges(spark, d), [root], ["imports", "references", "depends-on"], traverse.Bounds(20))
+    walk = traverse.impact(_both_ways(spark, d), [root], ["imports", "references", "depends-on"], traverse.Bounds(20))
     return walk.nodes
 
 
@@ -167,12 +175,12 @@ def g6_reachable(spark, d):
 
 
 def g7_neighborhood(spark, d):
-    walk = traverse.neighborhood(_edges(spark, d), "nation:3", ["contains"], "both", traverse.Bounds(2))
+    walk = traverse.neighborhood(_both_ways(spark, d), "nation:3", ["contains"], "both", traverse.Bounds(2))
     return walk.edges.select("id", "from", "to", "kind")
 
 
 def g8_outline(spark, d):
-    walk = traverse.outline(_edges(spark, d), _symbols(spark, d), "region:2", traverse.Bounds(8))
+    walk = traverse.outline(_both_ways(spark, d), _symbols(spark, d), "region:2", traverse.Bounds(8))
     return walk.nodes.select("id", F.col("depth").cast("long").alias("depth"))
 
 
@@ -197,7 +205,7 @@ def g10_backlinks_all(spark, d):
 
 
 def g11_impact_roots(spark, d):
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     as_types = facts.symbols.withColumn("kind", F.when(F.col("kind") == "order", "type").otherwise(F.col("kind")))
     facts = Facts(facts.units, facts.documents, as_types, facts.occurrences, facts.edges)
     return snapshots.impact_roots(facts, ["orders/1", "orders/2", "docs/3.txt"])
@@ -205,13 +213,13 @@ def g11_impact_roots(spark, d):
 
 def g14_proximity(spark, d):
     """How near the documents at either end of an edge lie: leading path segments in common."""
-    docs = project.documents(spark, d)
+    docs = projected.table(spark, d, "documents")
     other = docs.select(F.col("id").alias("other"), F.col("path").alias("other_path")).where("other IN ('orders:1', 'pages:1')")
     return docs.join(F.broadcast(other)).select("id", "other", (10 * T.common_segments(F.col("path"), F.col("other_path"))).cast("long").alias("near"))
 
 
 def a1_status(spark, d):
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     return federate.status(federate.aggregate({"one": facts, "two": facts}))
 
 
@@ -224,7 +232,7 @@ def a3_unit_counts(spark, d):
 
 
 def a4_entity_usage(spark, d):
-    return snapshots.entity_usage(project.facts(spark, d))
+    return snapshots.entity_usage(projected.facts(spark, d))
 
 
 def a8_route_ambiguity(spark, d):
@@ -233,7 +241,7 @@ def a8_route_ambiguity(spark, d):
 
 
 def _versions(spark, d) -> tuple[Facts, Facts]:
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     key = F.substring_index("id", ":", -1).cast("long")
     order = facts.symbols.where("kind = 'order'")
     before = order.where(key % 7 != 0)
@@ -262,7 +270,7 @@ def _whole_versions(spark, d) -> tuple[Facts, Facts]:
         c = _CHANGED[family]
         return df.where(key % 11 != 0).withColumn(c, F.when(key % 13 == 0, F.concat(c, F.lit("*"))).otherwise(F.col(c)))
 
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     return facts.map(lambda _, df: df.where(key % 7 != 0)), facts.map(later)
 
 
@@ -311,17 +319,17 @@ def p1_architecture(spark, d):
         policy.Rule("parts-import-named", "allow", "parts", "named", ["imports", "depends-on"], "only named suppliers"),
         policy.Rule("parts-import-some", "allow", "parts", "suppliers", ["imports"]),
     ]
-    return policy.violations(project.facts(spark, d), layers, rules).select("rule", "edge", "from", "to", "message")
+    return policy.violations(projected.facts(spark, d), layers, rules).select("rule", "edge", "from", "to", "message")
 
 
 def p3_verify(spark, d):
-    facts = project.facts(spark, d)
+    facts = projected.facts(spark, d)
     damaged = Facts(facts.units.where("id <> 'customer:3'"), facts.documents.where("id <> 'docs:5'"), facts.symbols.where("id <> 'part:9'"), facts.occurrences, facts.edges)
     return snapshots.verify(damaged)
 
 
 def k4_export(spark, d):
-    return render.export(project.facts(spark, d)).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    return render.export(projected.facts(spark, d)).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 def fn_kind_code(spark, d):
@@ -339,7 +347,7 @@ def fn_stable_hash(spark, d):
 
 
 def q7_explore(spark, d):
-    return search.explore(_symbols(spark, d), "red widgets explained", 8)
+    return search.explore(_symbols(spark, d), "red widgets explained", 8, _postings(spark, d))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] != "_" and getattr(f, "__module__", "") == __name__ and name not in ("partial", "conform")}

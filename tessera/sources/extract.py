@@ -113,7 +113,8 @@ def sql(s: Sheet) -> None:
             if kind == "enum":
                 for m in re.finditer(r"'([^']*)'", body):
                     s.symbol(m[1], "sql-enum-value", f"{target}.{m[1]}", line, me)
-            for m in re.finditer(rf"\bREFERENCES\s+{name}" if kind == "table" else rf"\b(?:FROM|JOIN|ON)\s+(?:ONLY\s+)?{name}", body, re.I):
+            words = {"table": "REFERENCES", "index": "ON"}.get(kind, "FROM|JOIN")
+            for m in re.finditer(rf"\b(?:{words})\s+(?:ONLY\s+)?{name}", body, re.I):
                 s.edge(me, "depends-on", f"open:sql:{clean(m[1])}", line)
         elif changed:
             s.edge(s.file, "references", f"open:sql:{clean(changed[1])}", line)
@@ -366,7 +367,7 @@ def facts_of(kind: str, path: str, text: str) -> Sheet:
 
 def extract(files: DataFrame) -> DataFrame:
     """Rows of ROW from files (path, text): symbols (a stable, b display name), edges
-    (a from, b to) and problems. Files of other kinds or over MOST_BYTES give none."""
+    (a from, b to) and problems. Files of other kinds give none, those over MOST_BYTES a problem."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -378,8 +379,33 @@ def extract(files: DataFrame) -> DataFrame:
                 out += [("problem", path, None, None, kind, path, None, None, p) for p in s.problems]
             yield pd.DataFrame(out, columns=["family", "id", "a", "b", "kind", "path", "line", "evidence", "text"])
 
-    known = files.withColumn("category", category(F.col("path"))).where("category <> '' AND text IS NOT NULL").where(F.octet_length("text") <= MOST_BYTES)
-    return known.select("category", "path", "text").mapInPandas(run, ROW)
+    known = files.withColumn("category", category(F.col("path"))).where("category <> '' AND text IS NOT NULL")
+    small, size = F.octet_length("text") <= MOST_BYTES, F.octet_length("text").cast("string")
+    void = lambda kind: F.lit(None).cast(kind)
+    large = known.where(~small).select(F.lit("problem").alias("family"), F.col("path").alias("id"), void("string").alias("a"), void("string").alias("b"), F.col("category").alias("kind"), "path", void("int").alias("line"), void("string").alias("evidence"), F.concat(F.lit("file of "), size, F.lit(f" bytes is over {MOST_BYTES}")).alias("text"))
+    read = known.where(small).select("category", "path", "text").mapInPandas(run, ROW)
+    return read.unionByName(large.select(*[F.col(c).cast(read.schema[c].dataType).alias(c) for c in read.columns]))
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """rows of all files in which open references to SQL relations and Protobuf types name
+    the symbol that some file defines, if one does; a Protobuf name is sought from the
+    innermost scope outwards. Of equal definitions the least id counts."""
+    name = F.substring_index("a", "#", -1)
+    defined = rows.where("family = 'symbol' AND kind IN ('sql-table', 'sql-view', 'protobuf-message', 'protobuf-enum')")
+    defined = defined.groupBy(F.substring_index("kind", "-", 1).alias("language"), name.alias("name")).agg(F.min("id").alias("found"))
+    edges, others = rows.where("family = 'edge'"), rows.where("family <> 'edge'")
+    for end, other in (("a", "b"), ("b", "a")):
+        asked = edges.where(F.col(end).rlike("^open:(sql|protobuf):")).select("id", "path", F.split(end, ":", 3).alias("open"), F.split(F.substring_index(other, "#", -1), r"\.").alias("scope"))
+        language, wanted = F.col("open")[1], F.col("open")[2]
+        outwards = F.transform(F.sequence(F.size("scope"), F.lit(0), F.lit(-1)), lambda n: F.concat_ws(".", F.slice("scope", F.lit(1), n), F.array(wanted)))
+        names = F.when(language == "sql", F.array(wanted)).when(wanted.startswith("."), F.array(F.substring(wanted, 2, 1 << 20))).otherwise(outwards)
+        hits = asked.select("id", "path", language.alias("language"), F.posexplode(names).alias("rank", "name")).join(defined, ["language", "name"])
+        hits = hits.groupBy("id", "path").agg(F.min_by("found", "rank").alias("found"))
+        edges = edges.join(hits, ["id", "path"], "left").withColumn(end, F.coalesce("found", end)).drop("found")
+    edges = edges.withColumn("id", F.concat_ws("|", "a", "kind", "b"))
+    first = edges.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.struct("path", "line")).alias("e")).select("e.*")  # several files may say the same of one relation
+    return others.unionByName(first)
 
 
 def migration_order(files: DataFrame) -> DataFrame:
@@ -390,7 +416,8 @@ def migration_order(files: DataFrame) -> DataFrame:
 
 
 def to_facts(files: DataFrame, rows: DataFrame, provider: str = "files") -> Facts:
-    """Fact tables of extracted rows, a unit for each file."""
+    """Fact tables of extracted rows, a unit for each file; references are resolved across files."""
+    rows = resolved(rows)
     unit = F.concat(F.lit(f"{provider}:"), F.col("path"))
     kept = files.where(category(F.col("path")) != "")
     units = kept.select(unit.alias("id"), F.lit(provider).alias("provider"), F.lit("1").alias("provider_version"), category(F.col("path")).alias("language"), F.sha2("text", 256).alias("input_fingerprint"))

@@ -7,21 +7,43 @@ last one or the new one. Replacing units keeps all other units' rows as they are
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import DDL, FAMILIES, SCHEMA_VERSION, Facts, conform, problems
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where all run in one process may it be unset, and is a
+    folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def spooled(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/spool-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Conflict(RuntimeError):
+    """Another writer published first."""
 
 
 class Store:
@@ -50,16 +72,35 @@ class Store:
             return None
         return Facts(**{f: self.spark.read.schema(DDL[f]).parquet(f"{self.root}/{m['generation']}/{f}") for f in FAMILIES})
 
-    def publish(self, facts: Facts) -> str:
-        """Write a generation, then name it in the manifest."""
+    def publish(self, facts: Facts, expected: str | None = "") -> str:
+        """Write a generation, then name it in the manifest. With `expected` (a generation,
+        or None for no manifest), only if that is still the one; Conflict otherwise."""
         name = f"generation-{uuid.uuid4().hex}"
+        before = (self.manifest() or {}).get("generation") if expected == "" else expected
         for family, df in facts.families().items():
             out = conform(df, family)
             out = out.sortWithinPartitions("from", "kind", "to") if family == "edges" else out.sortWithinPartitions("id")
             out.write.parquet(f"{self.root}/{name}/{family}")
+        # Whoever creates the successor's lock of a generation publishes; a lock is made once.
+        lock = self._path(f"next-of-{before or 'nothing'}")
+        if (self.manifest() or {}).get("generation") != before or not self._create(lock, name):
+            self.fs.delete(self._path(name), True)
+            raise Conflict(f"the store moved on from {before}")
         self._write_manifest({"schema_version": SCHEMA_VERSION, "generation": name})
         return name
 
+    def _create(self, path, text: str) -> bool:
+        """Create a file unless it exists."""
+        try:
+            out = self.fs.create(path, False)
+        except Py4JJavaError as e:
+            if self.fs.exists(path):
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def _write_manifest(self, value: dict) -> None:
         fresh = self._path(f"manifest-{uuid.uuid4().hex}.json")
         out = self.fs.create(fresh)
@@ -82,9 +123,11 @@ class Store:
             if not removed.join(gone, "id", "left_semi").isEmpty():
                 raise ValueError("a unit is both replaced and removed")
             gone = gone.unionByName(removed.select("id"))
+        m = self.manifest()
+        expected = m["generation"] if m else None
         base = self.load()
         if base is None:
-            return self.publish(batch)
+            return self.publish(batch, expected)
 
         def keep(family: str, df: DataFrame) -> DataFrame:
             key = "id" if family == "units" else "unit_id"
@@ -95,14 +138,16 @@ class Store:
         for family, df in merged.families().items():
             if not df.groupBy("id").count().where("count > 1").isEmpty():
                 raise ValueError(f"{family}: an id belongs to two units")
-        return self.publish(merged)
+        return self.publish(merged, expected)
 
-    def collect_garbage(self) -> int:
-        """Delete generations that the manifest doesn't name; their number."""
+    def collect_garbage(self, age_seconds: int = 3600) -> int:
+        """Delete generations, older than the age, that the manifest doesn't name; their
+        number. A younger one may be another writer's, not published yet."""
         m, n = self.manifest(), 0
+        before = (time.time() - age_seconds) * 1000
         for s in self.fs.listStatus(self._path()):
             name = s.getPath().getName()
-            if name.startswith("generation-") and (m is None or name != m["generation"]):
+            if name.startswith("generation-") and (m is None or name != m["generation"]) and s.getModificationTime() <= before:
                 self.fs.delete(s.getPath(), True)
                 n += 1
         return n

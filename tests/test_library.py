@@ -150,7 +150,7 @@ def test_store_replaces_units(spark, tmp_path):
     store.replace_units(two)
     assert sorted(r.id for r in store.load().symbols.collect()) == ["x", "y"]
     store.replace_units(empty(spark), spark.createDataFrame([("u",)], "id string"))
-    assert [r.id for r in store.load().symbols.collect()] == ["y"] and store.collect_garbage() == 3
+    assert [r.id for r in store.load().symbols.collect()] == ["y"] and store.collect_garbage(0) == 3
     with pytest.raises(ValueError):
         store.replace_units(small(spark, "w", symbols=[("y", "y", "Y", (), "type", "")]))
     with pytest.raises(ValueError):
