@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,10 +70,11 @@ def matches(value: Column, pattern: str) -> Column:
 
 
 def matches_any(value: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | matches(value, p)
-    return out
+    """Whether a value fits one of the patterns; all path patterns are one expression."""
+    under = [value.startswith(p[:-2]) for p in patterns if p.endswith("/**")]
+    fitting = [glob_regex(p) for p in patterns if not p.endswith("/**")]
+    out = under + ([value.rlike("|".join(f"(?:{f})" for f in fitting))] if fitting else [])
+    return reduce(Column.__or__, out, F.lit(False))
 
 
 def heading_anchor(title: Column) -> Column:
@@ -104,3 +106,25 @@ def common_segments(a: Column, b: Column) -> Column:
 def stable_hash(*parts: Column) -> Column:
     """sha256 of the parts, parted by NUL."""
     return F.sha2(F.concat_ws("\0", *parts), 256)
+
+
+def byte_column(line: Column, column: Column, unit: str = "utf-8") -> Column:
+    """The byte, from 0, of a place in a line that is counted in bytes, in code points
+    ("utf-32") or in UTF-16 units; null past the line's end, before its start, or
+    within a character."""
+    size = F.octet_length(line)
+    if unit == "utf-8":
+        return F.when((column >= 0) & (column <= size), column)
+    if unit == "utf-32":
+        return F.when((column >= 0) & (column <= F.length(line)), F.octet_length(F.substr(line, F.lit(1), column.cast("int"))))
+    if unit != "utf-16":
+        raise ValueError("a place is counted in utf-8, utf-16 or utf-32")
+    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("bytes"))
+
+    def walk(a: Column, c: Column) -> Column:
+        width = F.octet_length(c)
+        step = F.struct((a["units"] + F.when(width == 4, 2).otherwise(1)).alias("units"), (a["bytes"] + width).alias("bytes"))
+        return F.when(a["units"] >= column, a).otherwise(step)
+
+    end = F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, walk)
+    return F.when((column >= 0) & (end["units"] == column), end["bytes"])

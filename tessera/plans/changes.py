@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import diff, search, snapshots, traverse
+from tessera.functions import text as T
+from tessera.operators import diff, inventory, search, snapshots, traverse
 from tessera.plans import registry
 from tessera.schema import Facts
 from tessera.sources import projected, routing
@@ -106,6 +107,17 @@ def s24_routes(spark, d):
     return routing.routed(paths, claims)
 
 
+def s7_entities(spark, d):
+    return inventory.entities(projected.table(spark, d, "documents"))
+
+
+def fn_byte_columns(spark, d):
+    """Where the twentieth character and UTF-16 unit of each text's first line lie, in bytes."""
+    line = F.substring_index("text", "\n", 1)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", T.byte_column(line, F.lit(20), "utf-32").cast("long").alias("point"), T.byte_column(line, F.lit(20), "utf-16").cast("long").alias("unit"), T.byte_column(line, F.lit(20)).cast("long").alias("byte"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name[0] != "_"}
 
 _CHANGES = registry._DELTA_ALL + """, new AS (SELECT * FROM dl WHERE change IN ('added', 'changed')), gone AS (SELECT * FROM dl WHERE change = 'removed'),
@@ -143,6 +155,10 @@ ORACLE = {
       SELECT id, "from", "to", kind FROM kept WHERE "from" IN (SELECT n FROM seen) AND "to" IN (SELECT n FROM seen)""",
     "q5_workspace_terms": registry.ORACLE["q5_workspace_find"],
     "q5_workspace_word": "SELECT CAST(1 AS INTEGER) AS place, 'document:12' AS id, CAST(0 AS INTEGER) AS score FROM documents WHERE doc_id = 12",
+    "s7_entities": f"""WITH {registry._DOCUMENTS}, e AS (SELECT DISTINCT '.' AS parent, split_part(path, '/', 1) AS path FROM docs UNION SELECT split_part(path, '/', 1), path FROM docs)
+      SELECT e.path, CASE WHEN n.k IS NULL THEN 'file' ELSE 'directory' END AS kind, e.parent, coalesce(n.k, 0) AS children FROM e LEFT JOIN (SELECT parent, count(*) AS k FROM e GROUP BY 1) n ON n.parent = e.path""",
+    "fn_byte_columns": """WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)
+      SELECT doc_id, CASE WHEN length(line) >= 20 THEN octet_length(encode(substr(line, 1, 20))) END AS point, CASE WHEN length(line) >= 20 THEN octet_length(encode(substr(line, 1, 20))) END AS unit, CASE WHEN octet_length(encode(line)) >= 20 THEN 20 END AS byte FROM l""",
     "s24_routes": f"""WITH {registry._DOCUMENTS} SELECT path, CASE WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.HTML' THEN 'web' WHEN path LIKE '%/1' THEN 'first' ELSE 'any' END AS owner
       FROM (SELECT CASE WHEN path LIKE 'pages/%' THEN path || '.HTML' ELSE path END AS path FROM docs)""",
 }

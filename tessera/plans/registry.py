@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import federate, policy, render, search, snapshots, traverse
+from tessera.operators import federate, inventory, policy, render, search, snapshots, traverse
 from tessera.schema import EDGE_KINDS, Facts, conform, kind_code
 from tessera.sources import projected
 
@@ -53,10 +53,8 @@ def s4_hot_facts(spark, d):
 
 
 def s7_inventory(spark, d):
-    """Directories of all document paths, with the paths directly in each."""
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return projected.table(spark, d, "documents").select(F.explode(up).alias("directory")).groupBy("directory").agg(F.count("*").alias("paths"))
+    """Directories of all document paths, with the paths below each."""
+    return inventory.directories(projected.table(spark, d, "documents"))
 
 
 def f_adjacency_kinds(spark, d):
@@ -103,12 +101,8 @@ def q5_workspace_find(spark, d):
 
 def q8_anchor_line(spark, d):
     """The line of each document that shares most words with a phrase, the first of equals."""
-    words = F.array(*map(F.lit, ["and", "of", "the", "that"]))
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    hits = lines.withColumn("hits", F.size(F.array_intersect(T.tokens(F.col("body")), words)))
-    best = hits.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("line")).alias("minus"))).alias("b"))
-    return best.select("doc_id", (-F.col("b.minus")).cast("long").alias("line"), F.col("b.hits").cast("long").alias("hits"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return inventory.anchor_lines(docs, ["and", "of", "the", "that"]).withColumnRenamed("id", "doc_id")
 
 
 def text_tokens(spark, d):
@@ -228,7 +222,7 @@ def a2_collapsed(spark, d):
 
 
 def a3_unit_counts(spark, d):
-    return _edges(spark, d).groupBy("unit_id").agg(F.count("*").alias("n"))
+    return inventory.unit_counts(_edges(spark, d))
 
 
 def a4_entity_usage(spark, d):
@@ -236,8 +230,7 @@ def a4_entity_usage(spark, d):
 
 
 def a8_route_ambiguity(spark, d):
-    routes = _edges(spark, d).where("kind = 'links-to'").groupBy(F.col("to").alias("route")).agg(F.count_distinct("from").alias("owners"), F.min("from").alias("first"))
-    return routes.where("owners > 1")
+    return inventory.ambiguous_routes(_edges(spark, d))
 
 
 def _versions(spark, d) -> tuple[Facts, Facts]:
