@@ -214,7 +214,10 @@ def name_score(display: Column, kind: Column, term: str, primary: bool) -> Colum
 def explore(symbols: DataFrame, phrase: str, limit: int = 8, index: DataFrame | None = None) -> DataFrame:
     """Symbols that answer a phrase, by score: each term's best match over its
     variants, summed, with scores for kind, coverage, specificity and scope; then
-    repeated containers and names go behind the rest."""
+    repeated containers and names go behind the rest. The best section's document, named
+    domains and the surfaces `gui` and `tui` shape the result as well."""
+    from tessera.sources.store import spooled
+
     terms = explore_terms(phrase)
     asked = [t for t in terms if t not in SCOPE or t in ("gui", "tui")] or terms
     fetch = min(512, max(16 * limit, 64))
@@ -241,11 +244,60 @@ def explore(symbols: DataFrame, phrase: str, limit: int = 8, index: DataFrame |
     score -= wide + F.when(F.col("evidence") == "generated", 80).otherwise(0) + F.when(F.col("display_name").startswith("Test"), 40).otherwise(0)
     for t in terms:
         score += F.when(stable.contains(t), 8 + (SCOPE_SCORE.get(t, 2) if t in SCOPE else 0)).otherwise(0)
-    rows = rows.withColumn("score", score.cast("int"))
-    order = [F.desc("score"), "stable_name", "id"]
-    container = F.when(F.instr("stable_name", ".method.") > 0, F.substring_index("stable_name", ".method.", 1)).otherwise(F.col("id"))
+    rows = spooled(rows.select("id", "kind", "stable_name", "display_name", score.cast("int").alias("score")))
+    rows = _in_domains(_in_document(rows), terms)
+    order, stable, kind = [F.desc("score"), "stable_name", "id"], F.col("stable_name"), F.col("kind")
+    container = F.when(F.instr(stable, ".method.") > 0, F.substring_index(stable, ".method.", 1)).otherwise(F.col("id"))
     label = F.when(kind.isin("section", "document"), F.lower("display_name")).otherwise(F.col("id"))
     rows = rows.withColumn("again", (F.row_number().over(Window.partitionBy(container).orderBy(*order)) > 1).cast("int"))
     rows = rows.withColumn("same", (F.row_number().over(Window.partitionBy(label).orderBy("again", *order)) > 1).cast("int"))
-    final = ["same", "again", *order]
-    return rows.orderBy(*final).limit(limit).withColumn("pos", F.row_number().over(Window.orderBy(*final))).select("pos", "id", "kind", "stable_name", "display_name", "score")
+    final, columns = ["same", "again", *order], ["pos", "id", "kind", "stable_name", "display_name", "score"]
+    scopes = [x for x in ("gui", "tui") if x in terms]
+    if limit < 2 or not scopes:
+        return rows.orderBy(*final).limit(limit).withColumn("pos", F.row_number().over(Window.orderBy(*final))).select(*columns)
+    ranked = rows.orderBy(*final).select(*columns[1:]).collect()  # no more than were fetched
+    return rows.sparkSession.createDataFrame([(k + 1, *r) for k, r in enumerate(_with_scopes(ranked, scopes, terms, limit))], "pos int, id string, kind string, stable_name string, display_name string, score int")
+
+
+def _in_document(rows: DataFrame) -> DataFrame:
+    """rows, with 40 more for all of the best section's document if it has three of them."""
+    path = F.substring_index("stable_name", "#", 1)
+    best = rows.where(F.col("kind").isin("section", "document")).select(path.alias("path"), "score").orderBy(F.desc("score"), "path").head(1)
+    if not best:
+        return rows
+    inside = (F.col("stable_name") == best[0]["path"]) | F.col("stable_name").startswith(best[0]["path"] + "#")
+    return rows.withColumn("score", F.col("score") + F.when(inside, 40).otherwise(0)) if rows.where(inside).count() >= 3 else rows
+
+
+def _in_domains(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """Where terms name domains, the rows of these and those of a rare name that is a
+    term's own; all rows if these are fewer than two."""
+    domain = F.when(F.instr("stable_name", "/domains/") > 0, F.regexp_extract("stable_name", r"/domains/([^/.]*)", 1)).otherwise("")
+    known = [r[0] for r in rows.select(domain.alias("d")).distinct().where("d <> ''").collect()]  # no more than were fetched
+    asked = [d for d in known if any(d == t or d.removesuffix("s") == t.removesuffix("s") for t in terms)]
+    if not asked:
+        return rows
+    names = sorted({v for t in terms for v in variants(t)})
+    # A variant that several terms have counts for each of them.
+    times = {v: sum(v in variants(t) for t in terms) for v in names}
+    counts = rows.where(F.lower("display_name").isin(names)).groupBy(F.lower("display_name").alias("name")).agg(F.count("*").alias("n")).collect()
+    rare = [r["name"] for r in counts if r["n"] * times[r["name"]] <= 2]
+    kept = rows.where(domain.isin(asked) | F.lower("display_name").isin(rare))
+    return kept if kept.limit(2).count() == 2 else rows
+
+
+def _with_scopes(ranked: list[Row], scopes: list[str], terms: list[str], limit: int) -> list[Row]:
+    """The first `limit`, in which each scope asked for has a place if anything is of it."""
+    out = list(ranked)
+    if len(out) > limit:
+        main = next((t for t in terms if t not in SCOPE), "")
+        for scope in scopes:
+            of = lambda r: f"/surfaces/{scope}." in r["stable_name"].lower() or f"/surfaces/{scope}/" in r["stable_name"].lower()  # noqa: B023, E731
+            said = lambda r: main != "" and (main in r["display_name"].lower() or main in r["stable_name"].lower())
+            if any(map(of, out[:limit])):
+                continue
+            rest = [k for k in range(limit, len(out)) if of(out[k])]
+            if rest:
+                k = next((k for k in rest if said(out[k])), rest[0])
+                out[limit - 1], out[k] = out[k], out[limit - 1]
+    return out[:limit]

@@ -58,3 +58,22 @@ def test_places_in_lines(spark):
         got = [r[0] for r in frame.select("k", T.byte_column(F.col("line"), F.col("k"), unit).alias("b")).orderBy("k").select("b").collect()]
         ends = {len(line[:n].encode(encoding)) // width: len(line[:n].encode()) for n in range(len(line) + 1)}
         assert got == [ends.get(k) if unit != "utf-8" else k if 0 <= k <= 8 else None for k in range(-1, 10)]
+
+
+def test_exploration_of_documents_domains_and_surfaces(spark):
+    from tessera.operators import search
+
+    rows = [(f"g{k}", f"app/surfaces/gui/menu.type.T{k}.method.Open", "Open", ("open", "menu"), "method", "") for k in range(6)]
+    rows += [("t1", "app/surfaces/tui/menu.function.Open", "Other", ("open",), "parameter", "")]
+    named = small(spark, symbols=rows).symbols
+    found = [r.id for r in search.explore(named, "open menu gui tui", 3).orderBy("pos").collect()]
+    assert len(found) == 3 and found[-1] == "t1"
+    assert "t1" not in [r.id for r in search.explore(named, "open menu", 3).collect()]
+    rows = [("o1", "app/domains/orders.function.Ship", "Ship", ("ship",), "function", ""), ("o2", "app/domains/orders.function.Pay", "Pay", ("ship",), "function", ""), ("u1", "app/domains/users.function.Shipper", "Shipper", ("ship",), "function", "")]
+    named = small(spark, symbols=rows).symbols
+    assert {r.id for r in search.explore(named, "ship order", 8).collect()} == {"o1", "o2"}
+    assert {r.id for r in search.explore(named, "ship", 8).collect()} == {"o1", "o2", "u1"}
+    rows = [("d", "guide.md", "Guide", ("alpha",), "document", ""), *[(f"s{k}", f"guide.md#s{k}", f"Part {k}", ("alpha",), "section", "") for k in range(3)], ("x", "x.md", "X", ("alpha",), "section", "")]
+    scores = {r.id: r.score for r in search.explore(small(spark, symbols=rows).symbols, "alpha", 8).collect()}
+    alone = {r.id: r.score for r in search.explore(small(spark, symbols=rows[:2] + rows[-1:]).symbols, "alpha", 8).collect()}
+    assert scores["s0"] - scores["x"] >= 40 and alone["s0"] - alone["x"] < 40
