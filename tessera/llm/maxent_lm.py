@@ -194,7 +194,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, n = frame.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     rows = max(1, BLOCK_BYTES * n // max(size or 0, 1))
-    return spool(frame.select("*", held_out(7, 2).alias("held_out"), F.floor(F.monotonically_increasing_id() / rows).alias("block")))
+    return spool(frame.select("*", held_out(7, 2).alias("held_out"), F.expr(f"monotonically_increasing_id() div {rows}").alias("block")))
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
