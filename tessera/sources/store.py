@@ -58,14 +58,25 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
     def manifest(self) -> dict | None:
-        path = self._path("manifest.json")
-        if not self.fs.exists(path):
-            return None
-        got = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()))
-        if got["schema_version"] != SCHEMA_VERSION:
+        """The generation that is current. manifest.json may lag behind a writer that was
+        lost: the successors that generations were given lead on from it."""
+        got = self._read("manifest.json")
+        while after := self._read(self._successor(got)):
+            got = after
+        if got and got["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"generation of schema {got['schema_version']}; rebuild the store")
         return got
 
+    @staticmethod
+    def _successor(of: dict | None) -> str:
+        return f"next-of-{of['generation'] if of else 'nothing'}.json"
+
+    def _read(self, name: str) -> dict | None:
+        if not self.fs.exists(self._path(name)):
+            return None
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
+        return json.loads(text) if text else None
+
     def load(self) -> Facts | None:
         m = self.manifest()
         if m is None:
@@ -76,21 +87,28 @@ class Store:
         """Write a generation, then name it in the manifest. With `expected` (a generation,
         or None for no manifest), only if that is still the one; Conflict otherwise."""
         name = f"generation-{uuid.uuid4().hex}"
-        before = (self.manifest() or {}).get("generation") if expected == "" else expected
+        current = self.manifest()
+        before = (current or {}).get("generation") if expected == "" else expected
         for family, df in facts.families().items():
             out = conform(df, family)
             out = out.sortWithinPartitions("from", "kind", "to") if family == "edges" else out.sortWithinPartitions("id")
             out.write.parquet(f"{self.root}/{name}/{family}")
-        # Whoever creates the successor's lock of a generation publishes; a lock is made once.
-        lock = self._path(f"next-of-{before or 'nothing'}")
-        if (self.manifest() or {}).get("generation") != before or not self._create(lock, name):
+        # A generation has one successor: whoever creates that file publishes. It needs a file
+        # system on which two can't create one file.
+        current, mine = self.manifest(), {"schema_version": SCHEMA_VERSION, "generation": name}
+        if (current or {}).get("generation") != before or not self._create(self._path(self._successor(current)), json.dumps(mine)):
             self.fs.delete(self._path(name), True)
             raise Conflict(f"the store moved on from {before}")
-        self._write_manifest({"schema_version": SCHEMA_VERSION, "generation": name})
+        self._write_manifest(mine)
         return name
 
     def _create(self, path, text: str) -> bool:
-        """Create a file unless it exists."""
+        """Create a file unless it exists; one that a lost writer left empty makes way."""
+        if self.fs.exists(path):
+            status = self.fs.getFileStatus(path)
+            if status.getLen() or status.getModificationTime() > (time.time() - 60) * 1000:
+                return False
+            self.fs.delete(path, False)
         try:
             out = self.fs.create(path, False)
         except Py4JJavaError as e:
