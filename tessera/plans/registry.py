@@ -174,7 +174,7 @@ def g7_neighborhood(spark, d):
 
 
 def g8_outline(spark, d):
-    walk = traverse.outline(_both_ways(spark, d), _symbols(spark, d), "region:2", traverse.Bounds(8))
+    walk = traverse.outline(_both_ways(spark, d), _symbols(spark, d), "region:2", traverse.Bounds(8, None, None))
     return walk.nodes.select("id", F.col("depth").cast("long").alias("depth"))
 
 
