@@ -148,7 +148,7 @@ def g4_dependencies(spark, d):
 
 
 def g5_path(spark, d):
-    walk = traverse.path(_both_ways(spark, d), "region:1", "supplier:7", ["contains", "depends-on", "imports"], traverse.Bounds(20))
+    walk = traverse.path(_both_ways(spark, d), "region:1", "supplier:7", ["contains", "depends-on", "imports"], traverse.Bounds(20, None, None))
     return walk.nodes.agg(F.max("depth").alias("length"), F.min_by("id", "depth").alias("start"), F.max_by("id", "depth").alias("end"))
 
 
