@@ -169,7 +169,7 @@ def g6_reachable(spark, d):
 
 
 def g7_neighborhood(spark, d):
-    walk = traverse.neighborhood(_both_ways(spark, d), "nation:3", ["contains"], "both", traverse.Bounds(2))
+    walk = traverse.neighborhood(_both_ways(spark, d), "nation:3", ["contains"], "both", traverse.Bounds(2, None, None))
     return walk.edges.select("id", "from", "to", "kind")
 
 
