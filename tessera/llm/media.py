@@ -815,9 +815,9 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
 
 
 #: What the encoder tries: cross-colour factors (in 32nds) and predictor modes; the bits of its cache, and the side of its tiles.
-FACTORS, MODES, CACHE, TILE = (-16, 16, 32), (1, 2, 4, 11), 7, 4
-#: The transform of an image, by its checksum: seven of eight images go without any.
-DEALT = (SUBTRACT_GREEN, CROSS_COLOUR, PALETTE, PREDICTOR, *[None] * 28)
+FACTORS, MODES, CACHE, TILE = (0, -16, 16, 32), (1, 2, 4, 11), 7, 4
+#: The transform of an image, by its checksum.
+DEALT = (SUBTRACT_GREEN, CROSS_COLOUR, PREDICTOR, PALETTE)
 _RESIDUAL_BITS = np.log2(1 + np.minimum(np.arange(256), 256 - np.arange(256)))
 
 
@@ -854,24 +854,25 @@ def _best_modes(px: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def encode_dealt(px: np.ndarray, width: int, height: int) -> bytes:
-    """The file of the ARGB values px. Text gains little from any transform, so its
-    checksum says which one an image gets (DEALT): a table holds streams of every
-    kind, and reading it inverts them all. The transform's parameters are
-    picked by what they leave to code; an image of over 256 colours has no palette and
-    goes without a transform."""
+    """The file of the ARGB values px. Every image gets a transform, and its checksum
+    says which (DEALT): a table holds streams of every kind, and reading it inverts them
+    all. The transform's parameters are picked by what they leave to code; an image of
+    over 256 colours has no palette and gets cross-colour instead."""
     out, kind = _head(width, height), DEALT[zlib.crc32(px.astype("<u4").tobytes()) % len(DEALT)]
+    if kind == PALETTE:
+        colours, index = np.unique(px, return_inverse=True)
+        if len(colours) <= 256:
+            px, width = _write_palette(out, px, width, height, colours, index)
+        else:
+            kind = CROSS_COLOUR
     if kind == SUBTRACT_GREEN:
         px = _write_green(out, px)
     elif kind == CROSS_COLOUR:
         px = _write_cross(out, px, width, 9, np.resize(_best_factors(px), _blocks(width, height, 9)))
     elif kind == PREDICTOR:
         px = _write_predictor(out, px, width, TILE, _best_modes(px, width, height))
-    elif kind == PALETTE:
-        colours, index = np.unique(px, return_inverse=True)
-        if len(colours) <= 256:
-            px, width = _write_palette(out, px, width, height, colours, index)
     out(0, 1)
-    Plan(px, width, CACHE, copies(px)).write(out, True, kind is None)
+    Plan(px, width, CACHE, copies(px)).write(out, True)
     return _file(out.bytes())
 
 

@@ -385,3 +385,11 @@ def test_temporal_list(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_every_image_has_a_transform():
+    kinds = {"predictor", "cross-colour", "subtract-green", "palette"}
+    met = [media.load_parts(media.store(f"text {k} of some more and fewer words".encode() * (1 + k % 7))[0])[1] & kinds for k in range(200)]
+    many = random.Random(3)
+    met += [media.load_parts(media.store(many.randbytes(4000))[0])[1] & kinds for _ in range(20)]
+    assert all(met) and set().union(*met) == kinds
