@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, held_out, lower_ascii, mix, prefix_sums, rows_by_size, span_hash, spool, table, unspool, utf8, word_spans
+from tessera.llm.common import arrow_map, giving_back, held_out, lower_ascii, mix, prefix_sums, rows_by_size, span_hash, spool, table, unspool, utf8, word_spans
 
 CLASSES, MEMBERS, TAILS = 32, 32, 256
 SLOTS, HEADS = CLASSES * MEMBERS, CLASSES * MEMBERS - TAILS
-ROUNDS, BATCH, RATE = 2, 32768, 0.25
+ROUNDS, BATCH, CHUNK, RATE = 2, 32768, 1024, 0.25
 #: Weight rows: two features of single slots (and of the start), then hashed pairs; in classes, hashed all.
 PAIRS, INNER = 4096, 8192
 OUTER_ROWS, INNER_ROWS = (SLOTS + 1, SLOTS + 1, PAIRS), (INNER, INNER)
-BLOCK_BYTES, COUNT_BYTES, PIECE = 12 << 20, 4 << 20, 1 << 20
+BLOCK_BYTES, COUNT_BYTES, PIECE, TOGETHER = 12 << 20, 4 << 20, 1 << 20, 1 << 16
 END, START = np.uint64(1), SLOTS
 CHUNKS = 32
 
@@ -49,7 +49,31 @@ CHUNKS = 32
 def tokens(text: bytes | None) -> np.ndarray:
     """Hashes of a text's tokens, the end included; a hash's last bits say which of the
     TAILS slots its token has unless it has one of its own."""
-    raw, at, out = text or b"", 0, []
+    return tokens_of([text])[0]
+
+
+def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some texts, one text after another, and how many each has. Short
+    texts are read together, with spaces between; long ones in pieces that end at words."""
+    parts, sizes, k = [], [], 0
+    while k < len(texts):
+        here, size = [], 0
+        while k < len(texts) and (not here or size + len(texts[k] or b"") < TOGETHER):
+            here.append(texts[k] or b"")
+            size, k = size + len(here[-1]) + 1, k + 1
+        h, starts = _words(b" ".join(here))
+        ends = np.cumsum([len(x) + 1 for x in here])
+        cuts = np.searchsorted(starts, ends)
+        parts.append(np.insert(h, cuts, END))
+        sizes.append(np.diff(cuts, prepend=0) + 1)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where they start."""
+    at, out, starts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
@@ -60,8 +84,9 @@ def tokens(text: bytes | None) -> np.ndarray:
         for k in (2, 3):
             shape = shape << np.uint64(8) | np.where(e - k >= s, data[np.maximum(e - k, 0)], 0).astype(np.uint64)
         out.append(span_hash(prefix_sums(data), s, e) & ~np.uint64(TAILS - 1) | mix(shape) % np.uint64(TAILS))
+        starts.append(s + at)
         at = end
-    return np.concatenate([*out, [END]]).astype(np.uint64)
+    return np.concatenate(out), np.concatenate(starts)
 
 
 @dataclasses.dataclass
@@ -123,28 +148,38 @@ def inner_rows(rows: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
     return [_hashed(r, classes, INNER) for r in rows[:2]]
 
 
+def chunks(n: int) -> list[slice]:
+    """Runs of CHUNK rows, whose logits stay in a processor's cache."""
+    return [slice(k, k + CHUNK) for k in range(0, n, CHUNK)]
+
+
 def logits(rows: list[np.ndarray], weights: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """The summed weight rows and the bias (one row, or one each), less the greatest of each row."""
-    z = weights[0][rows[0]]
+    """The summed weight rows and the bias (one row, or one each), less the greatest of each
+    row; a column for each row, so that sums over a row are sums of vectors."""
+    z = np.take(weights[0], rows[0], 0, mode="clip")
     for r, w in zip(rows[1:], weights[1:], strict=True):
-        z += w[r]
+        z += np.take(w, r, 0, mode="clip")
     z += bias
-    z -= z.max(1, keepdims=True)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
     return z
 
 
 def chances(rows: list[np.ndarray], weights: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """The softmax of the logits."""
+    """The softmax of the logits, a column for each row."""
     p = logits(rows, weights, bias)
     np.exp(p, out=p)
-    p /= np.einsum("ij->i", p)[:, None]
+    p /= p.sum(0)
     return p
 
 
 def chosen_log(rows: list[np.ndarray], weights: list[np.ndarray], bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The natural log of the softmax at each row's target."""
-    z = logits(rows, weights, bias)
-    return z[np.arange(len(target)), target].astype(float) - np.log(np.einsum("ij->i", np.exp(z)))
+    out = np.empty(len(target))
+    for k in chunks(len(target)):
+        z = logits([r[k] for r in rows], weights, bias if bias.ndim == 1 else bias[k])
+        out[k] = z[target[k], np.arange(z.shape[1])] - np.log(np.exp(z).sum(0))
+    return out
 
 
 @dataclasses.dataclass
@@ -176,13 +211,18 @@ class Learner:
     def step(self, rows: list[np.ndarray], slots: np.ndarray) -> None:
         c, m = np.divmod(slots.astype(np.int64), MEMBERS)
         seen = iter(self.seen)
+        columns, each = np.empty((CLASSES, len(c))), np.arange(CHUNK)
         for r, weights, bias, target in ((rows, self.model.outer, self.model.class_bias, c), (inner_rows(rows, c), self.model.inner, self.model.slot_bias[c], m)):
-            error = chances(r, weights, bias)
-            error[np.arange(len(target)), target] -= 1
-            columns = np.ascontiguousarray(error.T).astype(float)
+            for k in chunks(len(c)):
+                error = chances([x[k] for x in r], weights, bias if bias.ndim == 1 else bias[k])
+                error[target[k], each[: error.shape[1]]] -= 1
+                columns[:, k] = error
             for ids, w, n in zip(r, weights, seen, strict=False):
                 ids = ids.astype(np.intp)
-                g = np.stack([np.bincount(ids, x, len(w)) for x in columns], 1).astype(np.float32)
+                g = np.empty((CLASSES, len(w)), np.float32)
+                for k, x in enumerate(columns):
+                    g[k] = np.bincount(ids, x, len(w))
+                g = np.ascontiguousarray(g.T)
                 n += np.einsum("ij,ij->i", g, g) / g.shape[1]
                 g *= (RATE / np.sqrt(n))[:, None]
                 w -= g
@@ -198,14 +238,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
-    """The hash and count of every token of the training rows."""
+    """(block, h, c): the tokens of each block's rows and how often its training rows
+    have them, 0 if only others do. A token may come twice in a block."""
 
-    def each(batch):
-        h, n = np.unique(np.concatenate([tokens(t) for t in utf8(batch.column("text"))]), return_counts=True)
-        return {"h": h.view(np.int64), "c": n}
+    def each(batches):
+        for batch in batches:
+            for piece in rows_by_size(batch, "text", COUNT_BYTES):
+                blocks, held = piece.column("block").to_numpy(), piece.column("held_out").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    all_of, sizes = tokens_of(utf8(piece.column("text").slice(a, b - a)))
+                    out = np.repeat(held[a:b], sizes)
+                    h, c = np.unique(all_of[~out], return_counts=True)
+                    other = np.setdiff1d(np.unique(all_of[out]), h, assume_unique=True)
+                    h, c = np.concatenate([h, other]).view(np.int64), np.concatenate([c, np.zeros(len(other), np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), blocks[a])), pa.array(h), pa.array(c)], names=["block", "h", "c"])
 
-    got = arrow_map(rows.where("NOT held_out").select("text"), each, "h long, c long", limit=COUNT_BYTES)
-    return got.groupBy("h").agg(F.sum("c").alias("c"))
+    return rows.select("block", "held_out", "text").mapInArrow(giving_back(each), "block long, h long, c long")
 
 
 def learn_slots(counts: DataFrame) -> Slots:
@@ -224,8 +273,8 @@ def slots_of(rows: DataFrame, slots: Slots) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(slots)
 
     def each(batch):
-        runs = [x for t in utf8(batch.column("text")) for x in ([START], sent.value.of(tokens(t)))]
-        return {"run": [np.concatenate(runs).astype(np.uint16).tobytes()]}
+        h, sizes = tokens_of(utf8(batch.column("text")))
+        return {"run": [np.insert(sent.value.of(h).astype(np.uint16), np.cumsum(sizes) - sizes, START).tobytes()]}
 
     return arrow_map(rows.where("NOT held_out").where("text IS NOT NULL").select("text"), each, "run binary", limit=COUNT_BYTES)
 
@@ -281,9 +330,7 @@ def train(rows: DataFrame, counts: DataFrame) -> tuple[Slots, Model]:
 def text_logs(texts: list[bytes | None], count_of, slots: Slots, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of some texts: where each begins among their tokens, the counts of all tokens, and
     their log10 probabilities under the model."""
-    parts = [tokens(t) for t in texts]
-    sizes = np.array([len(p) for p in parts])
-    h = np.concatenate(parts)
+    h, sizes = tokens_of(texts)
     starts = np.cumsum(sizes) - sizes
     found, slot = count_of(h), slots.of(h)
     with_starts = np.insert(slot, starts, START)
@@ -298,21 +345,12 @@ def text_logs(texts: list[bytes | None], count_of, slots: Slots, model: Model) -
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = _numbered(docs)
-    counts = spool(count_tokens(rows))
+    met = spool(count_tokens(rows))
+    counts = spool(met.groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"))
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     trained = train(rows, counts)
 
-    def distinct(batches):
-        for batch in batches:
-            for piece in rows_by_size(batch, "text", COUNT_BYTES):
-                blocks = piece.column("block").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    h = np.unique(np.concatenate([tokens(t) for t in utf8(piece.column("text").slice(a, b - a))])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), blocks[a])), pa.array(h)], names=["block", "h"])
-
-    asked = rows.select("block", "text").mapInArrow(distinct, "block long, h long")  # a token may come twice
-    known = asked.join(counts, "h")
+    known = met.select("block", "h").join(counts, "h")
     sent = docs.sparkSession.sparkContext.broadcast(trained)
     score_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
