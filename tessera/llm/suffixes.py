@@ -5,7 +5,8 @@ equal strings meet. Neighbouring strings with one anchor form a region; only
 regions whose anchor occurs elsewhere too are gathered. Equal regions are counted
 first. The different regions of an anchor share a shard: their bytes are
 concatenated, the suffix array is induced, and permuted common prefixes of SPAN
-and more mark strings that occur again. Where the different regions of an anchor
+and more mark strings that occur again. An anchor with one region only, in which it
+occurs once, needs no array: its strings occur again just where the region does. Where the different regions of an anchor
 exceed HOT_BYTES, they are parted by content: by where the anchor lies in a string,
 in ever shorter stretches (WIDTHS), and by the bytes that all strings of the stretch
 have around it. Equal strings stay together; the parts go through suffix arrays too.
@@ -158,11 +159,13 @@ def _with_last(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order if len(order) == len(s) else np.concatenate(([last], order[order != last]))
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(s: np.ndarray, order: np.ndarray, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each place, the place before it in order, and the length of their common
     prefix (at most `most`). Where the place before moves along with the text, the
     length is one less than at the last place; only other places are compared, and
-    each 1 (a region's end), so that no region carries on what `most` cut before it."""
+    each 1 (a region's end), so that no region carries on what `most` cut before it.
+    Lengths below `least` may be given as less: where a compared place has no common
+    prefix of that length, none that moves along with it has one."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -175,6 +178,12 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> tuple[np.nda
     lo, hi = np.zeros(len(fresh), np.int64), np.minimum(most, n - np.maximum(fresh, other))
     hi[other < 0] = 0
     other = np.maximum(other, 0)
+    if least:
+        may = np.flatnonzero(hi >= least)
+        may = may[span_hash(sums, fresh[may], fresh[may] + least) == span_hash(sums, other[may], other[may] + least)]
+        top = np.zeros(len(fresh), np.int64)
+        top[may] = hi[may]
+        lo[may], hi = least, top
     while True:
         todo = np.flatnonzero(lo < hi)
         if not len(todo):
@@ -197,7 +206,7 @@ def repeated_starts(regions: list[bytes]) -> list[np.ndarray]:
     for r, end in zip(regions, ends, strict=True):
         s[end - 1 - len(r) : end - 1] = np.frombuffer(r, np.uint8).astype(np.int32) + 2
     s[-1] = 0
-    before, common = common_prefixes(s, suffix_array(s, 258), int(sizes.max()) + SPAN)
+    before, common = common_prefixes(s, suffix_array(s, 258), int(sizes.max()) + SPAN, SPAN)
     again = np.zeros(len(s), bool)
     hit = np.flatnonzero(common >= SPAN)
     again[hit] = True
@@ -300,22 +309,22 @@ def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = spool(arrow_map(mine.where(F.octet_length("text") >= SPAN).select("a", "b", "text"), find, "a long, b long, v long, start int, size int, own boolean"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("a", "b", "start") for f in (F.min, F.max)]
     shared = found.groupBy("v").agg(*ends, F.max("own").alias("own")).where("own OR min_a <> max_a OR min_b <> max_b OR min_start <> max_start").select("v")
-    hits = found.join(shared, "v").select("a", "b", "start", "size", "v").distinct()
-    hits = hits.groupBy("a", "b").agg(F.collect_list(F.struct("start", "size", "v")).alias("hits"))  # no more than the text has regions
+    hits = found.join(shared, "v").select("a", "b", "start", "size", "v", "own").distinct()
+    hits = hits.groupBy("a", "b").agg(F.collect_list(F.struct("start", "size", "v", "own")).alias("hits"))  # no more than the text has regions
     one = mine.select("a", "b", "row", "text").join(hits.join(classes, ["a", "b"]).select("a", "b", F.col("first").alias("row"), "hits"), ["a", "b", "row"])
 
     def cut(batch):
-        out = {k: [] for k in ("a", "b", "v", "start", "size", "r1", "r2", "content")}
+        out = {k: [] for k in ("a", "b", "v", "start", "size", "own", "r1", "r2", "content")}
         for a, b, text, hits in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), utf8(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
             for h in hits:
                 content = text[h["start"] : h["start"] + h["size"] + SPAN - 1]
                 r1, r2 = _digest(content)
-                for name, x in (("a", a), ("b", b), ("v", h["v"]), ("start", h["start"]), ("size", h["size"]), ("r1", r1), ("r2", r2), ("content", content)):
+                for name, x in (("a", a), ("b", b), ("v", h["v"]), ("start", h["start"]), ("size", h["size"]), ("own", h["own"]), ("r1", r1), ("r2", r2), ("content", content)):
                     out[name].append(x)
         return out
 
-    regions = spool(arrow_map(one, cut, "a long, b long, v long, start int, size int, r1 long, r2 long, content binary"), found)
-    placed, contents = regions.select("a", "b", "start", "size", "v", "r1", "r2"), regions.select("v", "r1", "r2", "content")
+    regions = spool(arrow_map(one, cut, "a long, b long, v long, start int, size int, own boolean, r1 long, r2 long, content binary"), found)
+    placed, contents = regions.select("a", "b", "start", "size", "v", "r1", "r2"), regions.select("v", "r1", "r2", "content", "own")
     all_placed, shards, done = [], [], [regions]
     for width in WIDTHS:
         sizes = contents.groupBy("v", "r1", "r2").agg(F.max(F.octet_length("content")).alias("bytes"))
@@ -340,14 +349,14 @@ def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = spool(arrow_map(different, part, "r1 long, r2 long, at int, size int, v long, s1 long, s2 long, content binary", text="content", limit=1 << 16))
         inner = placed.join(hot, "v", "left_semi").select("a", "b", "start", "r1", "r2").join(parts.drop("content"), ["r1", "r2"])
         placed = spool(inner.select("a", "b", (F.col("start") + F.col("at")).alias("start"), "size", "v", F.col("s1").alias("r1"), F.col("s2").alias("r2")))
-        contents = parts.select("v", F.col("s1").alias("r1"), F.col("s2").alias("r2"), "content")
+        contents = parts.select("v", F.col("s1").alias("r1"), F.col("s2").alias("r2"), "content", F.lit(True).alias("own"))
         done += [parts, placed]
     all_placed, shards = (functools.reduce(DataFrame.unionByName, x) for x in ([*all_placed, placed], [*shards, contents]))
 
     def sort_shards(batches):
         import pyarrow as pa
 
-        held, size, last = [], 0, None
+        held, size, last, alone = [], 0, None, False
 
         def flush():
             ids, starts, ends = [], [], []
@@ -360,16 +369,22 @@ def repeated_regions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["r1", "r2", "starts", "ends"])
 
         for batch in batches:
-            for v, r1, r2, content in zip(*(batch.column(c).to_pylist() for c in ("v", "r1", "r2", "content")), strict=True):
-                if v != last and size > SHARD_BYTES:
-                    yield flush()
-                    held, size = [], 0
+            for v, r1, r2, content, own in zip(*(batch.column(c).to_pylist() for c in ("v", "r1", "r2", "content", "own")), strict=True):
+                if v != last:
+                    if alone:
+                        size -= len(held.pop()[2])
+                    if size > SHARD_BYTES:
+                        yield flush()
+                        held, size = [], 0
+                alone = v != last and not own
                 held.append((r1, r2, content))
                 size, last = size + len(content), v
+        if alone:
+            held.pop()
         if held:
             yield flush()
 
-    one_each = shards.groupBy("v", "r1", "r2").agg(F.first("content").alias("content"))
+    one_each = shards.groupBy("v", "r1", "r2").agg(F.first("content").alias("content"), F.max("own").alias("own"))
     inside = one_each.repartition("v").sortWithinPartitions("v", "r1", "r2").mapInArrow(giving_back(sort_shards), "r1 long, r2 long, starts array<int>, ends array<int>")
     counted = all_placed.groupBy("r1", "r2").agg(F.count("*").alias("times")).where("times > 1").select("r1", "r2", F.lit(True).alias("whole"))
     verdict = counted.join(inside, ["r1", "r2"], "full")

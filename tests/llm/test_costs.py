@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import maxent_lm
+from tessera.llm import maxent_lm, suffixes
 
 
 def test_tokens_of_many_texts_are_those_of_each():
@@ -24,3 +24,12 @@ def test_logs_in_chunks_are_those_of_a_plain_softmax(n):
     z = (weights[0][rows[0]] + weights[1][rows[1]] + bias).astype(float)
     want = z[np.arange(n), target] - np.log(np.exp(z).sum(1))
     assert np.allclose(maxent_lm.chosen_log(rows, weights, bias, target), want, atol=1e-4)
+
+
+def test_common_prefixes_of_at_least_span_are_exact():
+    rng = np.random.default_rng(3)
+    part = rng.integers(2, 5, 300)
+    s = np.concatenate([part, rng.integers(2, 5, 90), [1], part[20:290], [1], part[:150], [1, 0]]).astype(np.int32)
+    order = suffixes.suffix_array(s, 258)
+    (b1, exact), (b2, least) = suffixes.common_prefixes(s, order, 700), suffixes.common_prefixes(s, order, 700, 200)
+    assert (b1 == b2).all() and (exact >= 200).any() and ((exact >= 200) == (least >= 200)).all() and (least[exact >= 200] == exact[exact >= 200]).all()
