@@ -305,7 +305,7 @@ def encoded(docs: DataFrame, path: str = MODEL, seed: int = SEED, keep: tuple[st
         seeds = [seed_of(k, seed) for k in batch.column("doc_id").to_pylist()]
         return {n: batch.column(n) for n in keep} | {"pieces": encode(batch.column("text").to_pylist(), seeds, sent.value)}
 
-    return arrow_map(docs.select(*names), each, schema, limit=1 << 22)
+    return arrow_map(docs.select(*names), each, schema)
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
